@@ -11,6 +11,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Protocol numbers (fixed values of the IP protocol registry).
 PROTOCOLS = {"ICMP": 1, "IGMP": 2, "TCP": 6, "UDP": 17, "IPV6": 41, "RSVP": 46, "GRE": 47, "ESP": 50, "AH": 51, "ICMP6": 58, "PIM": 103}
@@ -49,7 +50,7 @@ def family(text: Column) -> Column:
     return F.when(text.contains(":"), F.lit(6)).when(text.isNotNull(), F.lit(4))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def parse_any(text: pd.Series) -> pd.Series:
     """The 4 or 16 bytes of an address; null where it is none. Spark orders BINARY as unsigned bytes."""
 
@@ -62,7 +63,7 @@ def parse_any(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def format_any(packed: pd.Series) -> pd.Series:
     return packed.map(lambda x: None if x is None else str(ipaddress.ip_address(bytes(x))))
 
@@ -72,7 +73,7 @@ def mask_any(v4_prefix: int, v6_prefix: int):
     if not (0 <= v4_prefix <= 32 and 0 <= v6_prefix <= 128):
         raise ValueError("prefix beyond the address")
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def masked(packed: pd.Series) -> pd.Series:
         def one(x):
             if x is None:
