@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import Words, sliced
 from .sampling import fold, smallest, texts_of
 
-HASH_BITS = 20
 #: Bounds of the training sample: confirmed toxic documents, unlabelled ones, and labelled rows that set the prior.
 POSITIVES, UNLABELLED, LABELLED = 4000, 12000, 200_000
 FEATURES = 256
@@ -26,11 +25,13 @@ FOLDS = 5
 
 
 def word_features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of the distinct hashed words of each text; words are runs of letters, ASCII ones lower-cased."""
+    """(document, feature) of the distinct words of each text, as 64-bit hashes; words are runs of letters, ASCII ones lower-cased."""
     words = Words([d.translate(_LETTERS) for d in docs])
-    feature = (words.hashes() >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-    pairs = np.unique((words.doc.astype(np.int64) << HASH_BITS) | feature)
-    return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
+    feature = words.hashes().view(np.int64)
+    order = np.lexsort((feature, words.doc))
+    doc, feature = words.doc[order], feature[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])))[: len(doc)]
+    return doc[new], feature[new]
 
 
 #: Bytes that are no letters become spaces; those of characters beyond ASCII stay.
@@ -38,39 +39,37 @@ _LETTERS = bytes(b if b > 127 or chr(b).isalpha() and chr(b).islower() else ord(
 
 
 class Model:
-    """score(document) = sigmoid(bias + sum of the weights of the features present)."""
+    """score(document) = sigmoid(bias + sum of the weights of the features present). Features are sorted."""
 
     def __init__(self, feature: np.ndarray, weight: np.ndarray, bias: float):
-        self.bias, self.table = bias, np.zeros(1 << HASH_BITS, np.float32)
-        self.table[feature] = weight
-        self.feature, self.weight = feature, weight
+        self.feature, self.weight, self.bias = feature, weight, bias
 
-    def __reduce__(self):
-        return Model, (self.feature, self.weight, self.bias)
+    def logits(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """Of n documents, given by (document, feature) with repeats or without."""
+        at = np.minimum(np.searchsorted(self.feature, feature), len(self.feature) - 1) if len(self.feature) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(self.feature[at] == feature) if len(at) else at
+        pairs = np.unique(doc[hit].astype(np.int64) * (len(self.feature) + 1) + at[hit])
+        return np.bincount(pairs // (len(self.feature) + 1), self.weight[pairs % (len(self.feature) + 1)], n) + self.bias
 
     def scores(self, docs: list[bytes]) -> np.ndarray:
         words = Words([d.translate(_LETTERS) for d in docs])
-        feature = (words.hashes() >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        hit = np.flatnonzero(self.table[feature])
-        pairs = np.unique((words.doc[hit].astype(np.int64) << HASH_BITS) | feature[hit])
-        total = np.bincount(pairs >> HASH_BITS, self.table[pairs & ((1 << HASH_BITS) - 1)], len(docs))
-        return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(words.doc, words.hashes().view(np.int64), len(docs)), -30, 30)))
 
 
 def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = FEATURES, least: int = 5) -> np.ndarray:
-    """The features whose share of P differs most clearly from that of U (two-proportion z)."""
-    size = 1 << HASH_BITS
-    p = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]), minlength=size)
-    u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int64)]), minlength=size)
+    """The features whose share of P differs most clearly from that of U (two-proportion z), in `least` documents of P at least."""
     n, m = max(1, len(positive)), max(1, len(unlabelled))
+    feature, side = np.unique(np.concatenate([*positive, *unlabelled, np.zeros(0, np.int64)]), return_inverse=True)
+    split = sum(map(len, positive))
+    p, u = (np.bincount(x, minlength=len(feature)) for x in (side[:split], side[split:]))
     both = (p + u) / (n + m)
     z = np.abs(p / n - u / m) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / m))
-    z[(p + u) < least] = 0
+    z[p < least] = 0
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] > 4])
+    return feature[np.sort(best[z[best] > 4])]
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 800, rate: float = 0.1, decay: float = 2e-5) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 800, rate: float = 0.1, decay: float = 1e-6) -> Model:
     """Full-batch training on the features of P and U. With no positive example, every score is the prior."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     feature = choose_features(positive, unlabelled)
@@ -85,6 +84,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         return x
 
     xp, xu = dense(positive), dense(unlabelled)
+    # weights are held back the more, the fewer confirmed documents speak for them
+    held = decay * len(xp) / np.maximum(xp[:, :-1].sum(axis=0), 0.5)
     w = np.zeros(len(feature) + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros_like(w), np.zeros_like(w)
@@ -96,7 +97,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         toxic = prior * (xp.T @ (sp - 1)) / len(xp)
         clean = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
         gradient = toxic + clean if clean_risk >= 0 else -clean
-        gradient[:-1] += decay * w[:-1]
+        gradient[:-1] += held * w[:-1]
         mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
         w -= (rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return Model(feature, w[:-1].astype(np.float32), float(w[-1]))
@@ -106,7 +107,7 @@ def _features(batches):
     for batch in sliced(batches):
         doc, feature = word_features([t.encode() for t in batch.column("text").to_pylist()])
         bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.record_batch([batch.column("toxic"), pa.ListArray.from_arrays(bounds, pa.array(feature.astype(np.int32)))], names=["toxic", "features"])
+        yield pa.record_batch([batch.column("toxic"), pa.ListArray.from_arrays(bounds, pa.array(feature))], names=["toxic", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, labelled: int = LABELLED) -> Model:
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     share = smallest(known, labelled).agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
     p = smallest(known.where("toxic = 1"), positives)
     u = smallest(docs.where(fold("doc_id", FOLDS) != 0).select(F.col("doc_id").cast("long").alias("doc_id")), unlabelled).withColumn("toxic", F.lit(None).cast("int"))
-    rows = texts_of(docs, p.unionByName(u)).select("toxic", "text").mapInArrow(_features, "toxic int, features array<int>").toArrow()
+    rows = texts_of(docs, p.unionByName(u)).select("toxic", "text").mapInArrow(_features, "toxic int, features array<bigint>").toArrow()
     toxic = rows.column("toxic").to_pylist()
     found = [np.array(x.values, np.int64) if (x := v) is not None else np.zeros(0, np.int64) for c in rows.column("features").chunks for v in c]
     # rows come in any order; training must not depend on it

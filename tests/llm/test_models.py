@@ -52,7 +52,7 @@ def test_risk_is_corrected_for_the_prior():
     pos = lambda n: [np.unique(np.append(r.integers(10, 400, 20), 1)) for _ in range(n)]
     neg = lambda n: [np.unique(np.append(r.integers(10, 400, 20), 2)) for _ in range(n)]
     model = toxicity.train(pos(300), pos(500) + neg(500), 0.5)
-    score = lambda x: 1 / (1 + np.exp(-(model.table[x].sum() + model.bias)))
+    score = lambda x: 1 / (1 + np.exp(-model.logits(np.zeros(len(x), np.int64), x, 1)[0]))
     assert np.mean([score(x) for x in pos(100)]) > 0.9 and np.mean([score(x) for x in neg(100)]) < 0.1
 
 
