@@ -175,7 +175,7 @@ def attack_rate(spark, sf_dir):
     return _rounded(attack.attack_rates(fx.attackers(spark, sf_dir), 40 * 2**30), 1)
 
 
-@_query("""SELECT n.src_net, max(c.entry) AS entry FROM (SELECT DISTINCT CAST((src_addr // 256) * 256 AS BIGINT) AS src_net FROM flows UNION SELECT src_net FROM attackers) n
+@_query("""SELECT n.src_net, CAST(max(c.entry) AS BIGINT) AS entry FROM (SELECT DISTINCT CAST((src_addr // 256) * 256 AS BIGINT) AS src_net FROM flows UNION SELECT src_net FROM attackers) n
  LEFT JOIN catchment c ON c."start" = n.src_net OR (c."start" < n.src_net AND c."end" >= n.src_net + 255) GROUP BY 1""", "flows", "attackers", "catchment")
 def catchment_range_join(spark, sf_dir):
     nets = fx.flows(spark, sf_dir).select(net.mask_v4(F.col("src_addr"), 24).alias("src_net")).union(fx.attackers(spark, sf_dir).select("src_net")).distinct()
@@ -195,20 +195,23 @@ def catchment_scaled(spark, sf_dir):
 @_query("""SELECT location, dst_addr, CAST(window_start AS BIGINT) AS window_start, src_net, round(attack, 6) AS attack, round(train, 6) AS train, round(test, 6) AS test, coalesce(active >= 4 AND train >= 64, false) AS listed
  FROM cells WHERE train_length = 24""", "cells")
 def merge_join(spark, sf_dir):
+    return _rounded(_merged(spark, sf_dir))
+
+
+def _merged(spark, sf_dir) -> DataFrame:
     s, t = fx.stats(spark, sf_dir, (24,)), fx.hours(spark, sf_dir)
     key, starts = ["location", "dst_addr", "window_start", "src_net"], t - 24 - 24 + 1
     train = s.select("location", "dst_addr", F.col("time_start").alias("window_start"), "src_net", F.col("average").alias("train"), "active").where(F.col("window_start") <= starts)
     test = s.select("location", "dst_addr", (F.col("time_start") - 24).alias("window_start"), "src_net", F.col("average").alias("test")).where(F.col("window_start").between(1, starts))
     hit = fx.attack_traffic(spark, sf_dir).withColumn("window_start", F.explode(F.sequence(F.lit(1), F.lit(starts))))
-    return _rounded(evaluate.merged(train.where("active >= 4 and train >= 64"), hit, train, test, key))
+    return evaluate.merged(train.where("active >= 4 and train >= 64"), hit, train, test, key)
 
 
 @_query("""SELECT location, dst_addr, CAST(window_start AS BIGINT) AS window_start, round(tp, 3) AS tp, round(tn, 3) AS tn, round(fp, 3) AS fp, round(fn, 3) AS fn, round(total, 3) AS total FROM scored
  WHERE train_length = 24 AND min_active = 4 AND min_pkts_avg = 64 AND low_pass = 128 AND above_limit = 1""", "scored")
 def evaluate_one(spark, sf_dir):
     """The evaluation by merge and conditional sums, for one configuration."""
-    merged = QUERIES["merge_join"](spark, sf_dir)
-    return _rounded(evaluate.score(merged, ["location", "dst_addr", "window_start"], 128, 1.0), 3)
+    return _rounded(evaluate.score(_merged(spark, sf_dir), ["location", "dst_addr", "window_start"], 128, 1.0), 3)
 
 
 _CONFIG = "location, dst_addr, CAST(window_start AS BIGINT) AS window_start, CAST(train_length AS BIGINT) AS train_length, CAST(test_length AS BIGINT) AS test_length, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, CAST(low_pass AS BIGINT) AS low_pass, above_limit"
