@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, quality, records, secrets, simhash, substring, token_counts, toxicity
+from . import decontaminate, minhash, packing, quality, records, secrets, simhash, sql, substring, token_counts, toxicity
 from .common import table
 
 
@@ -52,4 +52,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_binary_records, op3_toxicity, op4_simhash, op5_token_counts, op6_quality, op7_best_fit_packing, op8_secrets, op9_minhash, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_secrets": sql.secrets(), "op10_substring_dedup": sql.REPEATS}

@@ -287,3 +287,15 @@ def test_redaction(spark, odd):
     for i, t in HIDDEN:
         assert not brute_spans(got[i].text) and got[i].n_chars == len(got[i].text)
     assert secrets.redact(odd).count() == 10 and secrets.redact(odd).columns == odd.columns
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert got[columns].sort_values("doc_id").reset_index(drop=True).equals(want[columns].sort_values("doc_id").reset_index(drop=True))
