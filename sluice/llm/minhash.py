@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Words, materialise, mixed, sliced
 from .components import components
+from .tiles import deal, forest, groups
 
 PERMUTATIONS, SHINGLE, THRESHOLD = 128, 5, 0.8
 _RNG = np.random.default_rng(20240229)
@@ -158,24 +159,58 @@ def _keyed(batches, bands: int):
         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc_id", "kind", "keys", "shingles"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = 32) -> DataFrame:
-    """(doc_id, class_id, n_links): classes of texts whose 5-word shingles have a Jaccard similarity of `threshold` or more.
-
-    Texts with the same shingles are one kind, and only kinds are joined: on equal signature bands, in Spark, and
-    each pair that shares a band is verified on the whole shingle sets. n_links counts the other kinds linked to a
-    text's kind. A pair at 0.8 shares one of 32 bands of 4 rows with a probability above 0.9999. class_id is the
-    smallest doc_id of a class; rows without words form one class. Null doc_ids get a class, and never name one.
+def _similar(shingles: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of shingle sets whose Jaccard similarity reaches the threshold; shared shingles are counted block by block."""
+    n, size = len(shingles), np.array([len(x) for x in shingles])
+    _, place = np.unique(np.concatenate(shingles), return_inverse=True)
+    row, order = np.repeat(np.arange(n), size), np.argsort(place, kind="stable")
+    row, place, both = row[order], place[order], np.zeros((n, n), np.float64)
+    for low in range(0, int(place[-1]) + 1, 16384):
+        own = slice(*np.searchsorted(place, [low, low + 16384]))
+        there = np.zeros((n, 16384), np.float32)
+        there[row[own], place[own] - low] = 1
+        both += there @ there.T
+    i, j = np.nonzero(np.triu(both >= threshold * (size[:, None] + size - both), 1))
+    return i, j
+
+
+def _verified(batches, threshold: float):
+    for bucket in groups(batches, ["band", "key", "part", "other"]):
+        kind = bucket.column("kind").to_numpy()
+        if len(kind) < 2:
+            continue
+        i, j = _similar([np.array(x, np.int64) for x in bucket.column("shingles").to_pylist()], threshold)
+        label = forest(len(kind), i, j)
+        moved = np.flatnonzero(label != np.arange(len(kind)))
+        yield pa.record_batch([pa.array(kind[moved]), pa.array(kind[label[moved]])], names=["a", "b"])
+
+
+def _links(kinds: DataFrame, labels: DataFrame | None, bands: list[int], threshold: float, tile: int) -> DataFrame:
+    """Links (a, b) between kinds that share one of the bands. Buckets whose kinds are of one class already are skipped."""
+    banded = kinds.select("kind", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col("keys")[k].alias("key")) for k in bands))).alias("x")).select("kind", "x.*")
+    known = banded.withColumn("label", F.col("kind")) if labels is None else banded.join(labels, banded["kind"] == labels["node"], "left").select("kind", "band", "key", F.coalesce("label", "kind").alias("label"))
+    mixed = known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
+    dealt = deal(banded.join(mixed, ["band", "key"], "left_semi"), ["band", "key"], "kind", tile)
+    key = ["band", "key", "part", "other"]
+    full = dealt.join(kinds.select("kind", "shingles"), "kind").select(*key, "kind", "shingles")
+    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_verified, threshold=threshold), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = 32, tile: int = 128) -> DataFrame:
+    """(doc_id, class_id): classes of texts whose 5-word shingles have a Jaccard similarity of `threshold` or more.
+
+    Texts with the same shingles are one kind, and only kinds are compared: those that share a signature band, on
+    their whole shingle sets. A pair at 0.8 shares one of 32 bands of 4 rows with a probability above 0.9999. The first
+    band settles large groups of near copies; the others then compare only buckets that still hold several classes.
+    class_id is the smallest doc_id of a class; rows without words form one class. Null doc_ids get a class, and never
+    name one.
     """
     keyed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_keyed, bands=bands), "doc_id long, kind long, keys array<long>, shingles array<long>"), "bands")
-    kinds = keyed.groupBy("kind").agg(F.min("doc_id").alias("id"))
-    bodies = keyed.groupBy("kind").agg(F.first("shingles").alias("shingles"))
-    banded = keyed.where(F.size("shingles") > 0).select("kind", F.posexplode("keys").alias("band", "key")).distinct()
-    left, right = banded.withColumnRenamed("kind", "a"), banded.withColumnRenamed("kind", "b")
-    pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    both = pairs.join(bodies.select(F.col("kind").alias("a"), F.col("shingles").alias("x")), "a").join(bodies.select(F.col("kind").alias("b"), F.col("shingles").alias("y")), "b")
-    met = F.size(F.array_intersect("x", "y"))
-    found = materialise(both.where(met / (F.size("x") + F.size("y") - met) >= threshold).select("a", "b"), "near")
-    labels = kinds.join(components(found).withColumnRenamed("node", "kind"), "kind", "left").select("kind", "id", F.coalesce("label", "kind").alias("label"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_links"))
-    classes = labels.join(labels.groupBy("label").agg(F.min("id").alias("class_id")), "label").join(degree, "kind", "left").select("kind", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return keyed.select("doc_id", "kind").join(classes, "kind").select("doc_id", "class_id", "n_links")
+    kinds = materialise(keyed.where(F.size("shingles") > 0).groupBy("kind").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles")), "kinds")
+    first = materialise(_links(kinds, None, [0], threshold, tile), "near")
+    labels = materialise(components(first), "labels")
+    rest = materialise(_links(kinds, labels, list(range(1, bands)), threshold, tile), "near")
+    found = components(first.unionByName(rest))
+    own = keyed.groupBy("kind").agg(F.min("doc_id").alias("id")).join(found.withColumnRenamed("node", "kind"), "kind", "left").select("kind", "id", F.coalesce("label", "kind").alias("label"))
+    classes = own.join(own.groupBy("label").agg(F.min("id").alias("class_id")), "label").select("kind", "class_id")
+    return keyed.select("doc_id", "kind").join(classes, "kind").select("doc_id", "class_id")

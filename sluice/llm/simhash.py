@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, sliced
 from .components import components
+from .tiles import deal, forest
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Rows of a bucket that are compared in one go; larger buckets are dealt out as pairs of parts.
@@ -119,20 +120,6 @@ def near_pairs(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(lanes)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of n indices through the pairs."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _tile_links(values: np.ndarray) -> pa.RecordBatch:
     values = np.unique(values)
     i, j = near_pairs(values)
@@ -175,11 +162,7 @@ def links(bits: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     blocks = next(b for b in range(RADIUS + 1, 17) if b == 16 or n <= 1024 << int(64 * (b - RADIUS) / b))
     shared = F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in masks(blocks)])).alias("plan", "shared")
     rows = bits.select("bits", shared)
-    size = rows.groupBy("plan", "shared").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("plan", "shared", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    dealt = rows.join(size, ["plan", "shared"], "left").withColumn("own", F.pmod(F.xxhash64("bits"), F.coalesce("parts", F.lit(1))).cast("int"))
-    # a part meets every other part of its bucket; two parts together are compared all against all
-    meets = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")))
-    dealt = dealt.withColumn("with", F.explode(meets)).select("plan", "shared", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), "bits")
+    dealt = deal(rows, ["plan", "shared"], "bits", tile)
     key = ["plan", "shared", "part", "other"]
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links, "a long, b long")
 

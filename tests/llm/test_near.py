@@ -169,6 +169,8 @@ def test_minhash_classes(spark, sf, odd, none):
     got = minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     ids = [i for i, _ in rows]
     assert sorted((r.doc_id, r.class_id) for r in got) == sorted((i, min(ids[k] for k in range(len(rows)) if want[k] == c)) for i, c in zip(ids, want))
+    few = minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), tile=2).collect()
+    assert sorted(few) == sorted(got)
     assert len(minhash.near_duplicates(odd).collect()) == 10 and minhash.near_duplicates(none).count() == 0
 
 
