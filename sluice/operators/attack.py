@@ -45,13 +45,14 @@ def attack_by_location(rates: DataFrame, targets: DataFrame, catchment: DataFram
     the rate is split evenly among the destination's locations.
     """
     shares = targets.groupBy("dst_addr").agg(F.count("*").alias("locations"))
-    at = targets.join(shares, "dst_addr")
+    # the service's locations and destinations are a handful that does not grow with the traffic: one row holds them
+    places = targets.join(shares, "dst_addr").agg(F.collect_list(F.struct("location", "dst_addr", "locations")).alias("places"))
+    every = lambda nets: nets.crossJoin(F.broadcast(places)).select(*nets.columns, F.inline("places"))
     if catchment is None:
-        # every network meets every location of the service, a handful that does not grow with the traffic
-        return rates.join(at, F.lit(True), "cross").select("location", "dst_addr", "src_net", (F.col("rate") / F.col("locations")).alias("attack"))
+        return every(rates).select("location", "dst_addr", "src_net", (F.col("rate") / F.col("locations")).alias("attack"))
     matched = catchment_matches(rates.select("src_net").distinct(), catchment.select("entry", "start", "end").distinct(), prefix)
     knows = catchment.select("entry", "dst_addr").distinct().withColumn("known", F.lit(True))
-    pairs = rates.join(matched, "src_net").join(at, F.lit(True), "cross")
+    pairs = every(rates.join(matched, "src_net"))
     joined = pairs.join(knows, ["entry", "dst_addr"], "left").join(catchment.select("entry", "dst_addr", "location", "factor"), ["entry", "dst_addr", "location"], "left")
     scaled = F.when(F.col("known"), F.col("rate") * F.col("factor")).otherwise(F.col("rate") / F.col("locations"))
     return joined.select("location", "dst_addr", "src_net", scaled.alias("attack")).where("attack is not null")
