@@ -55,6 +55,9 @@ def parser() -> argparse.ArgumentParser:
 #: The parameters of the full evaluation (fixed values of the experiment).
 FULL_GRID = {"train_lengths": (1, 2, 4, 8, 12, 24, 25, 48, 49, 72, 73), "test_lengths": (8, 24, 72), "active_minima": (1, 4, 8, 12), "packet_minima": (64, 128, 256), "low_passes": (128, 512, 2048, 8192), "above_limits": (1.0, 2.0, 4.0)}
 
+#: The training length that evaluations under evasion use.
+BEST_TRAIN = 24
+
 
 def run(args: argparse.Namespace, spark: SparkSession, grid: dict | None = None) -> None:
     if args.command == "allowlist":
@@ -72,6 +75,8 @@ def run(args: argparse.Namespace, spark: SparkSession, grid: dict | None = None)
     elif args.command == "evaluate":
         stored = exchange.read_stored(spark, args.table).where("agg_interval = 3600")
         grid = grid or FULL_GRID
+        if args.evasion_ips:
+            grid = grid | {"train_lengths": (BEST_TRAIN,)}
         axis = series.hour_range(stored).first()
         rates = attack.attack_rates(attack.weights_by_network(exchange.read_attackers(spark, args.attacker_ips)), args.bits_per_second)
         catchment = exchange.read_catchment(spark, args.catchment) if args.catchment else None
@@ -80,7 +85,7 @@ def run(args: argparse.Namespace, spark: SparkSession, grid: dict | None = None)
         lengths = tuple(sorted({*grid["train_lengths"], *grid["test_lengths"]}))
         stats = windows.window_stats(series.dense_series(stored), lengths).persist()
         done = evaluate.evaluate_grid(stats, hit, (axis["last"] - axis["first"]) // 3600 + 1, **grid, evasion=evading)
-        exchange.write_results(done, args.output, args.bits_per_second)
+        exchange.write_results(done, f"{args.output}/{args.evasion_ips}ips" if args.evasion_ips else args.output, args.bits_per_second)
         stats.unpersist()
     else:
         extra = f"_{args.extra}" if args.extra else ""

@@ -157,6 +157,14 @@ def _with_evasion(rows: DataFrame, attack: DataFrame, evasion: DataFrame) -> Dat
     return every.withColumn("own_train", F.col("train")).withColumn("train", F.when(evading & F.col("largest").isNotNull(), F.col("largest")).otherwise(F.col("train"))).withColumn("evading", evading & F.col("largest").isNotNull()).drop("largest")
 
 
+def best_train_only(results: DataFrame, best: dict[str, int], otherwise: int = 24) -> DataFrame:
+    """Results at each location's best training length only, as evaluations under evasion use them."""
+    length = F.lit(otherwise)
+    for location, hours in best.items():
+        length = F.when(F.col("location") == location, F.lit(hours)).otherwise(length)
+    return results.where(F.col("train_length") == length)
+
+
 def conservation(results: DataFrame) -> DataFrame:
     """Results whose four sums differ from the total by 2 or more and by a billionth or more of it: there should be none."""
     four = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")

@@ -214,6 +214,19 @@ def evaluate_one(spark, sf_dir):
     return _rounded(evaluate.score(_merged(spark, sf_dir), ["location", "dst_addr", "window_start"], 128, 1.0), 3)
 
 
+@_query("""SELECT location, dst_addr, CAST(window_start AS BIGINT) AS window_start, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, CAST(low_pass AS BIGINT) AS low_pass, above_limit,
+ round(sum(a - fn), 3) AS tp, round(sum(tn), 3) AS tn, round(sum(b - tn), 3) AS fp, round(sum(fn), 3) AS fn FROM (
+ SELECT *, least(b, lim * (1 - a / (a + b))) AS tn, least(a, lim * (a / (a + b))) AS fn FROM (SELECT c.*, g.min_active, g.min_pkts_avg, g.low_pass, g.above_limit, coalesce(attack, 0.0) AS a, coalesce(test * 10, 0.0) AS b,
+ CASE WHEN active >= g.min_active AND train >= g.min_pkts_avg THEN CASE WHEN evading THEN largest ELSE train END * 10 * g.above_limit ELSE CAST(g.low_pass AS DOUBLE) END AS lim
+ FROM (SELECT *, max(train) OVER (PARTITION BY location, dst_addr, window_start, train_length) AS largest, src_net IN (SELECT src_net FROM attackers WHERE (src_net // 256) % 4 = 0) AS evading FROM cells) c
+ JOIN cfg g USING (train_length, test_length) WHERE train_length = 24 AND (attack IS NOT NULL OR test IS NOT NULL))) GROUP BY ALL""", "cells", "cfg", "attackers")
+def evaluate_evasion(spark, sf_dir):
+    """Evading networks get the window's largest train traffic, at the best training length."""
+    evading = fx.attackers(spark, sf_dir).where(F.shiftright("src_net", 8) % 4 == 0)
+    done = evaluate.best_train_only(fx.evaluation(spark, sf_dir, **{**fx.GRID, "evasion": evading}), {"aaa": 24})
+    return _rounded(done.select("location", "dst_addr", "window_start", "min_active", "min_pkts_avg", "low_pass", "above_limit", "tp", "tn", "fp", "fn"), 3)
+
+
 _CONFIG = "location, dst_addr, CAST(window_start AS BIGINT) AS window_start, CAST(train_length AS BIGINT) AS train_length, CAST(test_length AS BIGINT) AS test_length, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, CAST(low_pass AS BIGINT) AS low_pass, above_limit"
 
 

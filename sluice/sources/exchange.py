@@ -81,14 +81,14 @@ SUMS = "total double, true_positives double, true_negatives double, false_positi
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Results of arrays of [configuration, sums], each on a line of its own, from all files below a folder.
 
-    The attack's bandwidth and the number of evading networks come from the path: ..._<n>bps... and ...<n>ips/file.
+    The attack's bandwidth and the number of evading networks come from the path: ..._<n>bps... and ...<n>ips/...
     """
     rows = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.input_file_name().alias("file"))
     pairs = rows.select("file", F.explode(F.from_json("value", RESULT)).alias("pair"))
     flat = pairs.select("file", F.from_json(F.col("pair")[0], CONFIG).alias("c"), F.from_json(F.col("pair")[1], SUMS).alias("s")).select("file", "c.*", "s.*")
     number = lambda pattern: F.nullif(F.regexp_extract("file", pattern, 1), F.lit("")).try_cast("long")
     return flat.select(
-        "location", net.parse_v4(F.split("iprange_dst", "/")[0]).alias("dst_addr"), number(r"_(\d+)bps").alias("attack_bandwidth"), number(r"(\d+)ips/[^/]+$").alias("evasion_ips"), "window_start", "train_length", "test_length", "min_active", "min_pkts_avg", "low_pass",
+        "location", net.parse_v4(F.split("iprange_dst", "/")[0]).alias("dst_addr"), number(r"_(\d+)bps").alias("attack_bandwidth"), number(r"(\d+)ips/").alias("evasion_ips"), "window_start", "train_length", "test_length", "min_active", "min_pkts_avg", "low_pass",
         F.col("above_train_limit").alias("above_limit"), F.col("true_positives").alias("tp"), F.col("true_negatives").alias("tn"), F.col("false_positives").alias("fp"), F.col("false_negatives").alias("fn"), "total", "file",
     )
 

@@ -127,7 +127,7 @@ def test_tables(spark, tmp_path):
         exchange.write_table(rows.withColumn("k", F.nullif("k", F.lit(1))), f"file://{tmp_path}/u", ["location", "k"])
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     rows = []
     for hour in range(30):
         for src in range(6):
@@ -148,7 +148,11 @@ def test_command_line(spark, tmp_path, capsys):
     best = spark.read.json(f"file://{tmp_path}/out/global_opt_results_conf").collect()
     assert [(r.attack_bandwidth, r.test_length, r.low_pass) for r in best] == [(4444, 4, 128)]
     assert spark.read.json(f"file://{tmp_path}/out/dfc_results_conf").count() == 1
-    (tmp_path / "out" / "aggregates").mkdir()
+    monkeypatch.setattr(cli, "BEST_TRAIN", 8)
+    run("evaluate", "--attacker-ips", f"file://{tmp_path}/w.json", "--evasion-ips", 1, "--bits-per-second", 4444, f"file://{tmp_path}/table", f"file://{tmp_path}/out/evade", grid=grid)
+    run("evasion", "--configuration", "evade", "--extra", "x", f"file://{tmp_path}/out")
+    means = spark.read.json(f"file://{tmp_path}/out/results_evasion_evade_x").collect()
+    assert len(means) == 4 and {(r.evasion_ips, r.train_length) for r in means} == {(1, 8)}
     with pytest.raises(ValueError):
         run("aggregate", "--output", "x", "--time-start", 5, "--time-end", 5, path)
 
