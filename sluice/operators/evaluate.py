@@ -114,31 +114,39 @@ def evaluate_grid(
         if evasion is not None:
             rows = _with_evasion(rows, attack, evasion)
         live = rows.where("attack is not null or test is not null").withColumn("average", F.col("train") if evasion is None else F.col("own_train"))
-        minima = F.array(*(F.struct(F.lit(m).alias("min_active"), F.lit(p).alias("min_pkts_avg")) for m, p in usable))
-        limits = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(v).alias("value")) for kind, v in low + above))
-        each = live.select("*", F.inline(minima)).select("*", F.inline(limits))
-        a, t, is_low = F.coalesce("attack", F.lit(0.0)), F.coalesce(F.col("test") * sampling, F.lit(0.0)), F.col("kind") == "low"
-        listed = F.coalesce((F.col("active") >= F.col("min_active")) & (F.col("average") >= F.col("min_pkts_avg")), F.lit(False))
+        # long lists of terms are written as SQL, which is parsed at once, not built call by call
+        minima = ", ".join(f"named_struct('min_active', {m}, 'min_pkts_avg', {p})" for m, p in usable)
+        limits = ", ".join(f"named_struct('kind', '{kind}', 'value', {v!r}D)" for kind, v in low + above)
+        each = live.selectExpr("*", f"inline(array({minima}))").selectExpr("*", f"inline(array({limits}))")
+        is_low, listed = F.col("kind") == "low", F.coalesce((F.col("active") >= F.col("min_active")) & (F.col("average") >= F.col("min_pkts_avg")), F.lit(False))
         if evasion is not None and evasion_mode == "extend_allowlist":
             listed = listed | F.col("evading")
-        limit = F.when(is_low, F.col("value")).otherwise(F.coalesce(F.col("train") * sampling * F.col("value"), F.lit(0.0)))
-        made = outcomes(a, t, limit) | {"total": a + t}
+        # one step after the other, by name, so that no expression is written out many times over
+        each = each.withColumns({"a": F.coalesce("attack", F.lit(0.0)), "t": F.coalesce(F.col("test") * sampling, F.lit(0.0)), "mine": listed != is_low, "limit": F.when(is_low, F.col("value")).otherwise(F.coalesce(F.col("train") * sampling * F.col("value"), F.lit(0.0)))})
+        made = outcomes(F.col("a"), F.col("t"), F.col("limit"))
+        each = each.withColumns({"own_tn": made["tn"], "own_fn": made["fn"], "gone": F.when(is_low, F.least("a", "value")).otherwise(F.lit(0.0)), "gone_total": F.when(is_low, F.col("a")).otherwise(F.lit(0.0))})
+        zero = F.lit(0.0)
+        mine = lambda v: F.when(F.col("mine"), v).otherwise(zero)
         # less what counting all attackers as unseen adds already
-        passed = F.least(a, F.col("value"))
-        unseen = {"tp": a - passed, "fn": passed, "total": a}
-        terms = {c: F.when(listed != is_low, v).otherwise(F.lit(0.0)) - (F.when(is_low, unseen[c]).otherwise(F.lit(0.0)) if c in unseen else F.lit(0.0)) for c, v in made.items()}
+        terms = {
+            "tp": mine(F.col("a") - F.col("own_fn")) - (F.col("gone_total") - F.col("gone")),
+            "tn": mine(F.col("own_tn")),
+            "fp": mine(F.col("t") - F.col("own_tn")),
+            "fn": mine(F.col("own_fn")) - F.col("gone"),
+            "total": mine(F.col("a") + F.col("t")) - F.col("gone_total"),
+        }
         key = [*PLACE, "window_start", "min_active", "min_pkts_avg", "kind", "value"]
         partial = each.select(*key, *(v.alias(c) for c, v in terms.items())).groupBy(*key).agg(*(F.sum(c).alias(c) for c in sums))
         # one row for each window and pair of minima, with the sums of each limit side by side
-        wide = partial.groupBy(*PLACE, "window_start", "min_active", "min_pkts_avg").agg(*(F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("value") == v), F.col(c))), F.lit(0.0)).alias(f"{kind}{k}_{c}") for group in (low, above) for k, (kind, v) in enumerate(group) for c in sums))
+        wide = partial.groupBy(*PLACE, "window_start", "min_active", "min_pkts_avg").agg(*(F.expr(f"coalesce(sum(if(kind = '{kind}' AND value = {v!r}D, {c}, 0D)), 0D)").alias(f"{kind}{k}_{c}") for group in (low, above) for k, (kind, v) in enumerate(group) for c in sums))
         grid = alone.select(*PLACE, "total", *(f"fn_{k}" for k in range(len(low)))).withColumnRenamed("total", "alone_total").withColumn("window_start", F.explode(F.sequence(F.lit(1), F.lit(starts))))
-        grid = grid.withColumn("pair", F.explode(F.array(*(F.struct(F.lit(m).alias("min_active"), F.lit(p).alias("min_pkts_avg")) for m, p in usable)))).select("*", "pair.*").drop("pair")
+        grid = grid.selectExpr("*", f"inline(array({minima}))")
         joined = grid.join(wide, [*PLACE, "window_start", "min_active", "min_pkts_avg"], "left").na.fill(0.0)
         combined = []
         for (i, (_, lv)), (j, (_, av)) in product(enumerate(low), enumerate(above)):
-            base = {"tp": F.col("alone_total") - F.col(f"fn_{i}"), "fn": F.col(f"fn_{i}"), "total": F.col("alone_total"), "tn": F.lit(0.0), "fp": F.lit(0.0)}
-            combined.append(F.struct(F.lit(int(lv)).alias("low_pass"), F.lit(av).alias("above_limit"), *((base[c] + F.col(f"low{i}_{c}") + F.col(f"above{j}_{c}")).alias(c) for c in sums)))
-        done = joined.select(*PLACE, "window_start", F.lit(train_length).alias("train_length"), F.lit(test_length).alias("test_length"), "min_active", "min_pkts_avg", F.inline(F.array(*combined)))
+            base = {"tp": f"alone_total - fn_{i} +", "fn": f"fn_{i} +", "total": "alone_total +", "tn": "", "fp": ""}
+            combined.append(f"named_struct('low_pass', {int(lv)}, 'above_limit', {av!r}D, " + ", ".join(f"'{c}', {base[c]} low{i}_{c} + above{j}_{c}" for c in sums) + ")")
+        done = joined.selectExpr(*PLACE, "window_start", f"{train_length} AS train_length", f"{test_length} AS test_length", "min_active", "min_pkts_avg", f"inline(array({', '.join(combined)}))")
         out = done if out is None else out.unionByName(done)
     if out is None:
         raise ValueError("no window fits into the series")
