@@ -68,7 +68,11 @@ def attack_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hours(spark: SparkSession, sf_dir: str) -> int:
-    row = series.hour_range(aggregates(spark, sf_dir)).first()
+    return _hours(aggregates(spark, sf_dir))
+
+
+def _hours(counts: DataFrame) -> int:
+    row = series.hour_range(counts).first()
     return (row["last"] - row["first"]) // 3600 + 1
 
 
@@ -76,10 +80,12 @@ GRID = {"train_lengths": (8, 24), "test_lengths": (24,), "active_minima": (1, 4)
 
 
 def evaluation(spark: SparkSession, sf_dir: str, **grid) -> DataFrame:
+    """Results of a grid. The counts and the windows are read several times, so they are kept; they spill to disk, and are made anew if lost."""
     grid = grid or GRID
     lengths = tuple(sorted({*grid["train_lengths"], *grid["test_lengths"]}))
-    # both windows of every configuration read these statistics, so they are kept; they spill to disk, and are made anew if lost
-    return evaluate.evaluate_grid(stats(spark, sf_dir, lengths).persist(), attack_traffic(spark, sf_dir), hours(spark, sf_dir), **grid)
+    counts = aggregates(spark, sf_dir).persist()
+    hit = attack.attack_by_location(attack.attack_rates(attackers(spark, sf_dir), BANDWIDTH), counts.select("location", "dst_addr").distinct())
+    return evaluate.evaluate_grid(windows.window_stats(series.dense_series(counts), lengths).persist(), hit, _hours(counts), **grid)
 
 
 #: DuckDB common table expressions, each with those it needs.
