@@ -62,7 +62,8 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str
     new = materialise(new, "unseen")
     held = given.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     same = (held["blob"] == new["blob"]) & held["doc_id"].eqNullSafe(new["doc_id"])
-    one = held.join(new, same, "left_semi").select("blob", "text").mapInArrow(_scan, "blob string, found array<struct<kind: string, start: bigint, end: bigint>>")
+    # both sides grow with the corpus: merged at every size, never broadcast
+    one = held.join(new.hint("merge"), same, "left_semi").select("blob", "text").mapInArrow(_scan, "blob string, found array<struct<kind: string, start: bigint, end: bigint>>")
     # a repeated row of the same id and text is scanned twice, and entered once
     entries = one.groupBy("blob").agg(F.first("found").alias("found")).select("blob", F.lit(rule_version).alias("rule_version"), "found")
     return paths, materialise(entries, "ledger")
@@ -119,7 +120,7 @@ def redact(docs: DataFrame) -> DataFrame:
     _, entries = scan_new(docs)
     hits = materialise(entries.where(F.size("found") > 0).select("blob", "found"), "hits")
     marked = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = marked.join(hits.withColumnRenamed("blob", "__blob"), "__blob", "left").drop("__blob").withColumn("found", F.coalesce("found", F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")))
+    joined = marked.join(hits.withColumnRenamed("blob", "__blob").hint("merge"), "__blob", "left").drop("__blob").withColumn("found", F.coalesce("found", F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")))
     rest = [c for c in docs.columns if c not in ("text", "found")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", text string"
     out = joined.select(*rest, "text", "found").mapInArrow(_redacted, schema)

@@ -191,5 +191,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     found = materialise(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id"), "groups")
     kept = found.where("doc_id = component_id").select("doc_id")
     once = kept.distinct()
-    out = docs.join(once.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    # the list of documents that stay grows with the corpus: merged with the texts at every size, never broadcast
+    out = docs.join(once.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
     return out if kept.count() == once.count() else out.dropDuplicates(["doc_id"])
