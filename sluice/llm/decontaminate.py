@@ -6,7 +6,9 @@
    tasks, an orthonormal basis Q of Z is taken, and the small matrix (AQ)'(AQ) is summed and decomposed.
 3. Every document is cut into overlapping passages. Each is projected onto the singular vectors and compared with the
    items' latent vectors by cosine. Most passages need no projection: their cosine cannot exceed the share of their
-   length that lies in words of the benchmark.
+   length that lies in words of the benchmark. The singular vectors leave a part of passages and items out, more of it
+   the larger the benchmark; where the product of what is left could lift a cosine to the threshold, the cosine
+   is taken on all words. Items whose words stand in a document one after another are candidates at any cosine.
 4. Candidates are verified on the words: the longest common subsequence of item and passage, and whether the item's
    answer, its last sentence, is there too. Paraphrases keep the order of most words; unlike texts do not.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, sliced, texts
+from .common import Rolling, Words, sliced, texts
 
 HASH_BITS, RANK, EXTRA, SEED = 18, 256, 8, 11
 #: Words a passage, and from one to the next.
@@ -145,7 +147,11 @@ def singular_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK) -> S
 
 
 class Items:
-    """The items of one pass: latent vectors of their passages, and their words for the checks."""
+    """The items of one pass: latent vectors of their passages, and their words for the checks.
+
+    norm, rest: length of each passage in the space and outside. post, held, share: for each row of the space, where
+    its passages begin, the passages and their weights. anchors: each item's rarest word, by which runs of its very words are found.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], space: Space):
         self.ids = [i for i, _ in rows]
@@ -153,14 +159,53 @@ class Items:
         hashes, first = _words(docs)
         self.words = [hashes[a:b] for a, b in zip(first, first[1:])]
         self.answers = [_words([_answer(t or "")])[0] for _, t in rows]
-        item, latent = [], []
+        item, latent, rows, weights = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for k, f, w in vectors(docs, space.idf):
-            y = w @ space.basis[space.row_of[f]]
-            if np.linalg.norm(y) > 1e-6:
-                item.append(k)
-                latent.append(y / np.linalg.norm(y))
+            item.append(k)
+            latent.append(w @ space.basis[space.row_of[f]])
+            rows.append(space.row_of[f])
+            weights.append(w)
         self.item = np.array(item, np.int64)
-        self.latent = np.array(latent, np.float32).reshape(len(item), space.basis.shape[1])
+        whole = np.array(latent, np.float64).reshape(len(item), space.basis.shape[1])
+        self.norm = np.linalg.norm(whole, axis=1)
+        self.rest = np.sqrt(np.maximum(0, 1 - self.norm**2))
+        self.latent = np.where(self.norm[:, None] > 1e-6, whole / np.maximum(self.norm, 1e-6)[:, None], 0).astype(np.float32)
+        row, passage = np.concatenate(rows), np.repeat(np.arange(len(item)), [len(x) for x in rows[1:]])
+        order = np.argsort(row, kind="stable")
+        self.post = np.searchsorted(row[order], np.arange(len(space.basis) + 1))
+        self.held, self.share = passage[order], np.concatenate(weights)[order]
+        worded = np.flatnonzero(np.diff(first))
+        rare = np.array([np.argmax(space.idf[_feature(self.words[k])]) for k in worded], np.int64)
+        order = np.argsort(hashes[first[worded] + rare], kind="stable")
+        self.run, self.offset, self.size = worded[order], rare[order], np.diff(first)[worded[order]]
+        self.runs = Rolling(hashes).of(first[self.run], first[self.run + 1])
+        self.anchors, self.group = np.unique(hashes[first[self.run] + self.offset], return_index=True)
+        self.group = np.append(self.group, len(worded))
+
+    def full(self, passage: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first passage, products with all items' passages) of n passages, some at a time; their entries come sorted."""
+        size, step = self.post[row + 1] - self.post[row], max(1, (1 << 18) // max(1, len(self.item)))
+        for at in range(0, n, step):
+            a, b = np.searchsorted(passage, [at, at + step])
+            own, many = size[a:b], min(step, n - at)
+            place = np.repeat(self.post[row[a:b]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            cell = np.repeat((passage[a:b] - at) * len(self.item), own) + self.held[place]
+            yield at, np.bincount(cell, np.repeat(weight[a:b], own) * self.share[place], many * len(self.item)).reshape(many, -1)
+
+    def copies(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of each run of words that is all of an item."""
+        if not len(self.anchors):
+            return
+        kind = np.minimum(np.searchsorted(self.anchors, hashes), len(self.anchors) - 1)
+        hit = np.flatnonzero(self.anchors[kind] == hashes)
+        low, many = self.group[kind[hit]], self.group[kind[hit] + 1] - self.group[kind[hit]]
+        entry = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        start = np.repeat(hit, many) - self.offset[entry]
+        end, doc = start + self.size[entry], np.repeat(np.searchsorted(first, hit, "right") - 1, many)
+        inside = np.flatnonzero((start >= first[doc]) & (end <= first[doc + 1]))
+        start, end, doc, entry = start[inside], end[inside], doc[inside], entry[inside]
+        same = np.flatnonzero(Rolling(hashes).of(start, end) == self.runs[entry])
+        yield from zip(doc[same].tolist(), self.run[entry[same]].tolist(), start[same].tolist(), end[same].tolist())
 
 
 def _answer(text: str) -> str:
@@ -200,8 +245,11 @@ def matches(docs: list[str], space: Space, items: Items) -> list[tuple[int, int,
     part, whole = inside[end] - inside[start], total[end] - total[start]
     near = np.flatnonzero(part >= COSINE**2 * whole)
     found: dict[tuple[int, int], list] = {}
-    for at in range(0, len(near), 2048):
-        own = near[at : at + 2048]
+    for d, item, a, b in items.copies(hashes, first):
+        found.setdefault((d, item), []).append((a, b, 0.0))
+    step = max(64, min(2048, (1 << 22) // len(items.item)))
+    for at in range(0, len(near), step):
+        own = near[at : at + step]
         size = end[own] - start[own]
         passage = np.repeat(np.arange(len(own)), size)
         word = np.repeat(start[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -212,12 +260,23 @@ def matches(docs: list[str], space: Space, items: Items) -> list[tuple[int, int,
         row = space.row_of[f]
         known = np.flatnonzero(row)
         row, weight = row[known], weight[known].astype(np.float32)
-        bounds = np.searchsorted(passage[known], np.arange(len(own) + 1)).tolist()
+        passage = passage[known]
+        bounds = np.searchsorted(passage, np.arange(len(own) + 1)).tolist()
         latent = np.zeros((len(own), space.basis.shape[1]), np.float32)
         for k, (a, b) in enumerate(zip(bounds, bounds[1:])):  # small dense products beat one large sparse one here
             if b > a:
                 latent[k] = weight[a:b] @ space.basis[row[a:b]]
-        cosine = latent @ items.latent.T / np.maximum(length, 1e-9)[:, None]
+        length = np.maximum(length, 1e-9)
+        cosine = latent @ items.latent.T / length[:, None]
+        # of a full cosine, the space has one part, and the lengths outside bound the other
+        rest = np.sqrt(np.maximum(0, np.bincount(passage, weight.astype(np.float64) ** 2, len(own)) - np.linalg.norm(latent, axis=1) ** 2)) / length
+        reach = np.flatnonzero((cosine * items.norm.astype(np.float32) + np.outer(rest, items.rest).astype(np.float32) >= COSINE - 1e-3).any(1))
+        rank = np.full(len(own), -1)
+        rank[reach] = np.arange(len(reach))
+        entry = np.flatnonzero(rank[passage] >= 0)
+        for low, product in items.full(rank[passage[entry]], row[entry], weight[entry], len(reach)):
+            some = reach[low : low + len(product)]
+            cosine[some] = np.maximum(cosine[some], product / length[some, None])
         for p, b in zip(*np.nonzero(cosine >= COSINE)):
             place = own[p]
             found.setdefault((int(doc[place]), int(items.item[b])), []).append((int(start[place]), int(end[place]), float(cosine[p, b])))
@@ -260,7 +319,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share): a row for each document and item that leaks into it.
 
     Null or empty texts leak nothing, and null item_ids are reported as such. Repeated documents are reported each;
-    repeated items each as well. Documents without words, or empty tables on either side, give no rows.
+    repeated items each as well. Documents without words, or empty tables on either side, give no rows. cosine is the
+    larger of the latent and the full one, and 0 where the item's very words are there but no passage reaches COSINE.
     """
     sc = docs.sparkSession.sparkContext
     space = singular_space(benchmark, inverse_frequencies(docs))

@@ -140,6 +140,50 @@ def test_op1_paraphrases(spark, monkeypatch):
     assert decontaminate.leaks(clean, bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_op1_large_benchmarks(spark, n):
+    """Many more items than singular vectors; each is a run of a document's words, and all are found there."""
+    r = random.Random(n)
+    docs = pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]]
+    words = [(d, w) for d, t in docs.values if len(w := plain(t).split()) >= 60]
+    rows, want = [], set()
+    for i in range(n):
+        (d, w), size = r.choice(words), r.randint(15, 59)
+        at = r.randrange(len(w) - size + 1)
+        rows.append((i, " ".join(w[at : at + size])))
+        want.add((d, i))
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs).repartition(4), bench).collect()}
+    assert not want - got
+
+
+def test_op1_full_cosines():
+    """The products on all words, and the passages that need them, against a dense version; the space leaves most out."""
+    r = np.random.default_rng(3)
+    vocabulary = np.array([f"w{k}" for k in range(400)])
+    texts = [" ".join(r.choice(vocabulary, 30)) for _ in range(150)]
+    docs = [" ".join([*r.choice(vocabulary, r.integers(60)), x, *r.choice(vocabulary, 50)]) for x in texts]
+    idf = np.ones(1 << decontaminate.HASH_BITS, np.float32)
+    feature = np.unique(decontaminate._feature(decontaminate._words(texts)[0]))
+    q = np.linalg.qr(r.standard_normal((len(feature), 5)))[0]
+    space = decontaminate.Space(idf, feature, q)
+    items = decontaminate.Items(list(enumerate(texts)), space)
+    got = {(d, i): c for d, i, c, _, _ in decontaminate.matches(docs, space, items)}
+    dense = lambda rows: [(k, np.bincount(f, w, 1 << decontaminate.HASH_BITS)[feature]) for k, f, w in decontaminate.vectors(rows, idf)]
+    known, full = dense(texts), {}
+    for k, x in dense(docs):
+        full[k] = max(full.get(k, 0), x @ known[k][1])
+    assert all((k, k) in got and got[k, k] >= full[k] - 1e-4 for k in range(len(docs)))
+
+
+def test_op1_copies_at_low_cosines(spark):
+    """Short and common words of an item among rare ones: no cosine tells of it, but it is there."""
+    docs = [(k, " ".join([*(f"rare{k}x{j}" for j in range(30)), "it is so", *(f"seldom{k}x{j}" for j in range(30))])) for k in range(50)]
+    bench = spark.createDataFrame([(7, "It is so."), (8, "It is not so.")], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.lcs_share) for r in got if r.item_id == 7) == [(k, 7, 1.0) for k in range(50)]
+
+
 def test_op1_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "the same words stand here twice over and over again", "x"), (4, "?!", "x")], "item_id long, text string, doc_id string")
     got = decontaminate.leaks(odd, bench).collect()
