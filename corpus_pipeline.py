@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of smallest doc_id, or one without where none has any."""
     return simhash.representatives(docs)
 
 

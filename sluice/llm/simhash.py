@@ -56,12 +56,17 @@ _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 def _fingerprints(batches):
     for batch in sliced(batches):
         found = [fingerprint((t or "").encode()) for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "bits"])
+        bits = pa.array(np.array(found, np.uint64).view(np.int64))
+        yield pa.record_batch([batch.column("doc_id"), bits, batch.column("hash")], names=["doc_id", "bits", "hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits long) for every row; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, bits long")
+    """(doc_id, bits long, hash long) for every row, hash being of the text; a null text counts as empty for bits."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("hash")).mapInArrow(_fingerprints, "doc_id long, bits long, hash long")
+
+
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -167,6 +172,13 @@ def links(bits: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links, "a long, b long")
 
 
+def _labelled(marked: DataFrame, *chosen) -> DataFrame:
+    """(bits, label and what is chosen of its rows) for each distinct fingerprint; a component's fingerprints share a label."""
+    kinds = materialise(marked.groupBy("bits").agg(*chosen), "kinds")
+    found = components(links(kinds.select("bits"), kinds.count()))
+    return kinds.join(found.withColumnRenamed("node", "bits"), "bits", "left").withColumn("label", F.coalesce("label", "bits"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: component_id is the smallest doc_id of those linked.
 
@@ -174,23 +186,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other. Rows with a null doc_id get a component through their text; a component of nulls only has id null.
     Repeated rows give repeated rows. Only doc_id and text are read. An empty table gives no rows.
     """
-    marked = materialise(fingerprints(docs), "fingerprints")
-    kinds = materialise(marked.groupBy("bits").agg(F.min("doc_id").alias("id")), "kinds")
-    found = components(links(kinds.select("bits"), kinds.count()))
-    labelled = kinds.join(found.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "id", F.coalesce("label", "bits").alias("label"))
+    marked = materialise(fingerprints(docs).drop("hash"), "fingerprints")
+    labelled = _labelled(marked, F.min("doc_id").alias("id"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     classes = materialise(labelled.join(least, "label").select("bits", "component_id"), "classes")
     return marked.join(classes, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: those with its smallest doc_id.
+    """One row of docs, with all its columns, for each component: that of its smallest doc_id.
 
-    Of rows that repeat a doc_id, one stays. Rows without a doc_id go, as no group can name them.
+    Rows without a doc_id stand for components that have no other. Rows are told apart by doc_id and a hash of the
+    text: of several texts under the smallest doc_id the one of smallest hash stays, and of equal rows one.
     """
-    found = materialise(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id"), "groups")
-    kept = found.where("doc_id = component_id").select("doc_id")
-    once = kept.distinct()
+    marked = materialise(fingerprints(docs), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    labelled = _labelled(marked, first.alias("row")).groupBy("label").agg(F.min("row").alias("row"))
+    kept = materialise(labelled.select(F.col("row.doc_id").alias("__id"), F.col("row.hash").alias("__kept")), "kept")
     # the list of documents that stay grows with the corpus: merged with the texts at every size, never broadcast
-    out = docs.join(once.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    return out if kept.count() == once.count() else out.dropDuplicates(["doc_id"])
+    listed = kept.hint("merge")
+    same = lambda h: F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(h) == F.col("__kept"))
+    out = docs.withColumn("__hash", text_hash()).join(listed, same("__hash"), "left_semi")
+    repeated = marked.join(listed, same("hash"), "left_semi").count() > kept.count()
+    return (out.dropDuplicates(["doc_id", "__hash"]) if repeated else out).drop("__hash")

@@ -301,3 +301,18 @@ def test_sql(spark, sf, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert got[columns].sort_values("doc_id").reset_index(drop=True).equals(want[columns].sort_values("doc_id").reset_index(drop=True))
+
+
+def test_representatives_keep_one_row_a_component(spark, odd, none):
+    """Null doc_ids and doc_ids that repeat with other texts: whatever the ids, each component keeps exactly one row."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(2, b), (5, b), (5, a), (None, a), (None, c), (None, c), (None, d), (7, d), (7, d), (None, None), (None, "")]
+    left = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, c), (2, b), (5, a), (7, d)]
+    given = [(r.doc_id, r.text) for r in odd.collect()]
+    bits = [brute_simhash(t) for _, t in given]
+    label = classes(len(given), [(i, j) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 4])
+    left = simhash.representatives(odd)
+    assert left.columns == odd.columns
+    assert sorted(label[given.index((r.doc_id, r.text))] for r in left.collect()) == sorted(set(label))
+    assert simhash.representatives(none).count() == 0
