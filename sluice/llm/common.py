@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the Python workers; bounds their memory whatever Arrow delivers.
 SLICE_BYTES = 2 << 20
@@ -62,17 +64,21 @@ def _clean() -> None:
         try:
             if spark.sparkContext._jsc is not None:
                 remove(spark, path)
-        except Exception:  # the session may have ended before
-            return
+        except Exception:  # the session may have ended before, or the folder may be gone
+            continue
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that none holds more than `limit` bytes of `column` (but one row at least)."""
+    """The batches, cut so that none holds more than `limit` bytes of `column` (but one row at least).
+
+    A column of whole numbers tells the bytes itself, as where texts come pressed.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        held = batch.column(column)
+        lengths = pc.fill_null(held if pa.types.is_integer(held.type) else pc.binary_length(held), 0).to_numpy(zero_copy_only=False)
         total, at = np.cumsum(lengths, dtype=np.int64), 0
         while at < n:
             before = total[at - 1] if at else 0
@@ -85,6 +91,95 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 
 
+_SPACE, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]")
+
+
+def parts(text: bytes, overlap: int = 0, limit: int | None = None) -> Iterator[bytes]:
+    """The text in parts of about `limit` bytes (SLICE_BYTES), cut before white space; a short one comes whole.
+
+    Each part but the first begins with the last `overlap` words of the one before, and each holds more words than
+    that, so every run of overlap + 1 words stands in exactly one part. A word is never cut, however long.
+    """
+    limit = limit or SLICE_BYTES
+    start, end = 0, 0
+    while True:
+        end = max(end, start + limit)
+        while True:
+            cut = _SPACE.search(text, end) if end < len(text) else None
+            end = cut.start() if cut else len(text)
+            if end == len(text) or len(text[start:end].split(None, overlap + 1)) > overlap:
+                break
+            end += limit
+        if end < len(text) and not _WORD.search(text, end):
+            end = len(text)
+        yield text[start:end]
+        if end == len(text):
+            return
+        start = start + len(text[start:end].rsplit(None, overlap)[0]) if overlap else end
+
+
+def grouped(docs: Iterable[bytes], overlap: int = 0) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(indices, parts) of texts: parts of several texts together, but about SLICE_BYTES at most at once."""
+    held: tuple[list[int], list[bytes]] = ([], [])
+    size = 0
+    for k, doc in enumerate(docs):
+        for part in parts(doc, overlap):
+            if size and size + len(part) > 2 * SLICE_BYTES:
+                yield held
+                held, size = ([], []), 0
+            held[0].append(k)
+            held[1].append(part)
+            size += len(part)
+    if held[0]:
+        yield held
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: A key is hot that has more than HOT_ROWS rows and more than a HOT_SHARE-th of all; so fewer than HOT_SHARE keys are hot.
+HOT_ROWS, HOT_SHARE = 1000, 20_000
+
+
+def hot_keys(counts: DataFrame, total: int) -> DataFrame | None:
+    """(key columns, __parts) of the hot keys, from (key columns, __n) of all keys or of the larger ones; None without any.
+
+    There are fewer than HOT_SHARE of them, whatever the table holds, so they may be collected and broadcast. __parts
+    is the number of tasks that the key's rows are dealt to.
+    """
+    if total <= HOT_ROWS:
+        return None
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    hot = counts.where(F.col("__n") > most).select(*(c for c in counts.columns if c != "__n"), F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows joined with `one`, which has a row for each key at most (how: inner, left or left_semi).
+
+    The rows of hot keys are dealt to several tasks, each of which gets a copy of the key's one row; this needs no
+    adaptive execution. hot: as hot_keys gives it. A null key matches nothing.
+    """
+    if hot is None:
+        return rows.join(one.hint("merge"), key, how)
+    many, salt = fresh(rows, "__parts"), fresh(rows, "__salt")
+    hot = F.broadcast(hot.withColumnRenamed("__parts", many))
+    own = F.when(F.col(many).isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(many))).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn(salt, own).drop(many)
+    copies = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(many, F.lit(1)) - 1))).drop(many)
+    return dealt.join(copies.hint("merge"), [*key, salt], how).drop(salt)
+
+
+def count_by(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count("*").alias("__n"))
+
+
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import itertools
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sliced
+from .common import count_by, fresh, hot_keys, materialise, parts, sliced, spread_join
 from .components import components
 from .tiles import deal, forest
 
@@ -30,20 +29,17 @@ BATCH_ROWS = 512
 
 def fingerprint(text: bytes) -> int:
     """The 64-bit SimHash of a text's 4-word shingles; zero without words. ASCII letters count as lower case."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[: 1 - SHINGLE - 1])).tolist()
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
-    n, ones = len(stops), np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 17):
-        part = slice(at, at + (1 << 17))
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[part], stops[part])], np.uint64)
+    n, ones = 0, np.zeros(64, np.int64)
+    for part in parts(text, SHINGLE - 1):
+        words = part.lower().split()
+        if len(words) < SHINGLE:  # of the whole text, as longer ones have no such part
+            return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-SHINGLE])).tolist()
+        stops = (ends[SHINGLE - 1 :] - 1).tolist()
+        n += len(stops)
+        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
         for byte in range(8):
             seen = np.bincount((h >> np.uint64(8 * byte)).astype(np.uint8), minlength=256)
             ones[8 * byte : 8 * byte + 8] += seen @ _BITS
@@ -61,12 +57,12 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits long, hash long) for every row, hash being of the text; a null text counts as empty for bits."""
+    """(doc_id, bits long, hash long) for every row; a null text counts as an empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("hash")).mapInArrow(_fingerprints, "doc_id long, bits long, hash long")
 
 
 def text_hash():
-    return F.xxhash64(F.col("text").cast("string"))
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -174,7 +170,7 @@ def links(bits: DataFrame, n: int, tile: int = TILE) -> DataFrame:
 
 def _labelled(marked: DataFrame, *chosen) -> DataFrame:
     """(bits, label and what is chosen of its rows) for each distinct fingerprint; a component's fingerprints share a label."""
-    kinds = materialise(marked.groupBy("bits").agg(*chosen), "kinds")
+    kinds = materialise(marked.groupBy("bits").agg(F.count("*").alias("__n"), *chosen), "kinds")
     found = components(links(kinds.select("bits"), kinds.count()))
     return kinds.join(found.withColumnRenamed("node", "bits"), "bits", "left").withColumn("label", F.coalesce("label", "bits"))
 
@@ -184,28 +180,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Fingerprints link at RADIUS or fewer differing bits. A null or empty text has fingerprint zero and links like any
     other. Rows with a null doc_id get a component through their text; a component of nulls only has id null.
-    Repeated rows give repeated rows. Only doc_id and text are read. An empty table gives no rows.
+    Repeated rows give repeated rows. Very long texts are hashed in parts. Only doc_id and text are read, so other
+    columns may have any names. An empty table gives no rows.
     """
     marked = materialise(fingerprints(docs).drop("hash"), "fingerprints")
-    labelled = _labelled(marked, F.min("doc_id").alias("id"))
+    labelled = materialise(_labelled(marked, F.min("doc_id").alias("id")), "labelled")
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    classes = materialise(labelled.join(least, "label").select("bits", "component_id"), "classes")
-    return marked.join(classes, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    # one component, or one fingerprint's copies, may be a third of all rows: such keys are dealt to several tasks
+    classes = spread_join(labelled, least, ["label"], hot=hot_keys(count_by(labelled, ["label"]), labelled.count())).select("bits", "component_id")
+    return spread_join(marked, classes, ["bits"], hot=hot_keys(labelled.select("bits", "__n"), marked.count())).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs, with all its columns, for each component: that of its smallest doc_id.
 
     Rows without a doc_id stand for components that have no other. Rows are told apart by doc_id and a hash of the
-    text: of several texts under the smallest doc_id the one of smallest hash stays, and of equal rows one.
+    text: of several texts under the smallest doc_id the one of smallest hash stays, and of equal rows one. A null text
+    counts as an empty one for the fingerprint. Columns of docs may have any names. An empty table gives no rows.
     """
-    marked = materialise(fingerprints(docs), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
-    labelled = _labelled(marked, first.alias("row")).groupBy("label").agg(F.min("row").alias("row"))
-    kept = materialise(labelled.select(F.col("row.doc_id").alias("__id"), F.col("row.hash").alias("__kept")), "kept")
-    # the list of documents that stay grows with the corpus: merged with the texts at every size, never broadcast
-    listed = kept.hint("merge")
-    same = lambda h: F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(h) == F.col("__kept"))
-    out = docs.withColumn("__hash", text_hash()).join(listed, same("__hash"), "left_semi")
-    repeated = marked.join(listed, same("hash"), "left_semi").count() > kept.count()
-    return (out.dropDuplicates(["doc_id", "__hash"]) if repeated else out).drop("__hash")
+    key = none, row_id, row_hash = [fresh(docs, c) for c in ("__no_id", "__id", "__hash")]
+    own = (F.col("doc_id").isNull().alias(none), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias(row_id))
+    marked = materialise(fingerprints(docs).select(*own, F.col("hash").alias(row_hash), "bits"), "fingerprints")
+    kept = materialise(_labelled(marked, F.min(F.struct(*key)).alias("row")).groupBy("label").agg(F.min("row").alias("row")).select("row.*"), "kept")
+    counts = materialise(count_by(marked, key).where("__n > 1"), "repeated")  # rows given more than once
+    # the list of rows that stay grows with the corpus: merged with the texts at every size, never broadcast
+    out = spread_join(docs.select("*", *own, text_hash().alias(row_hash)), kept, key, "left_semi", hot_keys(counts, marked.count()))
+    if not counts.join(kept, key, "left_semi").isEmpty():
+        out = out.dropDuplicates(key)
+    return out.drop(*key)

@@ -9,15 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_keys, materialise, spread_join
+
 
 def deal(rows: DataFrame, key: list[str], item: str, tile: int) -> DataFrame:
     """rows with `part` and `other`: those that share key, part and other are to be compared, all against all.
 
     A bucket (rows of one key) of up to `tile` rows stays whole. A larger one is cut into parts by a hash of `item`, and
     each part meets each other part once, so every pair of rows meets somewhere and no task gets more than two parts.
+    The rows of very large buckets learn the number of parts in several tasks.
     """
-    size = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > tile).select(*key, F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    dealt = rows.join(size, key, "left").withColumn("own", F.pmod(F.xxhash64(item), F.coalesce("parts", F.lit(1))).cast("int"))
+    size = materialise(rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > tile), "large")
+    hot = hot_keys(size, rows.count())
+    known = size.select(*key, F.ceil(F.col("__n") / tile).cast("int").alias("parts"))
+    dealt = spread_join(rows, known, key, "left", hot).withColumn("own", F.pmod(F.xxhash64(item), F.coalesce("parts", F.lit(1))).cast("int"))
     meets = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")))
     dealt = dealt.withColumn("with", F.explode(meets))
     return dealt.withColumn("part", F.least("own", "with")).withColumn("other", F.greatest("own", "with")).drop("own", "with", "parts")
