@@ -22,7 +22,7 @@ def secrets() -> str:
  FROM each WHERE length(held[i]) >= least),
  listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
  coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) FILTER (kind <> 'pem'), '') AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS spans FROM spans GROUP BY 1)
- SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, false AS scanned
  FROM texts t LEFT JOIN listed l ON l.doc_id = t.doc_id"""
 
 
