@@ -8,9 +8,11 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
-from sluice.llm import components, minhash, queries, secrets, simhash, substring
+from sluice.llm import common, components, minhash, queries, secrets, simhash, substring
 
 
 def documents(sf):
@@ -92,6 +94,40 @@ def test_hot_bucket_is_dealt_out_whole(spark):
     assert classes(len(v), [(at[r.a], at[r.b]) for r in found]) == classes(len(v), zip(a.tolist(), b.tolist()))
 
 
+@pytest.mark.parametrize("overlap", [0, 1, 3, 4])
+def test_parts_hold_each_run_of_words_once(overlap):
+    r = random.Random(overlap)
+    for _ in range(300):
+        text = b"".join(r.choice([b" ", b"\n", b" \t "]) + bytes(r.choice(b"abc") for _ in range(r.choice([1, 2, 30]))) for _ in range(r.randrange(30))) + r.choice([b"", b" " * 20])
+        runs = lambda w: [tuple(w[k : k + overlap + 1]) for k in range(len(w) - overlap)]
+        for limit in (1, 5, 20):
+            assert [x for p in common.parts(text, overlap, limit) for x in runs(p.split())] == runs(text.split())
+
+
+def test_fingerprints_of_long_texts(monkeypatch):
+    text = " ".join(random.Random(3).choice(["One", "two", "three\n", "é"]) for _ in range(3000))
+    want = brute_simhash(text)
+    for limit in (40, 1000, 1 << 20):
+        monkeypatch.setattr(common, "SLICE_BYTES", limit)
+        assert simhash.fingerprint(text.encode()) == want
+
+
+def test_hot_keys_change_nothing(spark, sf, monkeypatch):
+    """Fingerprints, components, blobs and windows that are dealt to several tasks."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = documents(sf).values.tolist()
+    extra = [(10_000 + k, t) for k, t in enumerate(["", "a copied text of some words, password=abcdef123"] * 30)] + [(None, "")] * 5
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string").repartition(5)
+    assert common.hot_keys(df.groupBy("text").agg(F.count("*").alias("__n")), df.count()).count() >= 2
+    check_simhash(simhash.near_duplicates(df).collect(), rows + extra)
+    check_secrets(secrets.digests(secrets.find_secrets(df)).collect(), rows + extra)
+    left = secrets.redact(df).collect()
+    assert len(left) == len(rows + extra) and not any(brute_spans(x.text) for x in left)
+    assert simhash.representatives(df).count() == len({r.component_id for r in simhash.near_duplicates(df).collect()})
+    again = df.unionByName(spark.createDataFrame([(20_000 + k, f"{k} of the words before. " + " ".join(f"w{j}" for j in range(30)) + f" and behind {k}") for k in range(40)], df.schema))
+    assert result(substring.remove_repeats(again.where("doc_id is not null"))) == brute_repeats([(r.doc_id, r.text) for r in again.collect() if r.doc_id is not None])
+
+
 def test_masks_are_a_pigeonhole():
     for blocks in (5, 6, 7):
         m = [x & ((1 << 64) - 1) for x in simhash.masks(blocks)]
@@ -218,6 +254,67 @@ def test_op10_on_few_words(spark, seed, monkeypatch):
     assert result(substring.remove_repeats(df)) == brute_repeats(rows)
 
 
+def test_factors_are_copies(spark):
+    """Each factor's words stand in its source, at an earlier place; together they cover all that repeats."""
+    r = random.Random(7)
+    passages = [" ".join(r.choice("a b c d e f g".split()) for _ in range(r.randrange(15, 70))) for _ in range(10)]
+    rows = [(k, " ".join(r.choice(passages) if r.random() < 0.6 else "x%d" % r.randrange(50) for _ in range(r.randrange(0, 9)))) for k in range(50)]
+    found = substring.factors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    text, covered = {i: words(t) for i, t in rows}, defaultdict(set)
+    for f in found:
+        assert f.n_words >= substring.WINDOW and (f.source_id, f.source_start) < (f.doc_id, f.start)
+        assert text[f.doc_id][f.start : f.start + f.n_words] == text[f.source_id][f.source_start : f.source_start + f.n_words]
+        covered[f.doc_id].update(range(f.start, f.start + f.n_words))
+    assert [(str(i), len(covered[i])) for i, _ in rows] == [(i, n) for i, _, n, _ in sorted(brute_repeats(rows), key=lambda x: int(x[0]))]
+    assert any(f.n_words > 40 for f in found)
+
+
+@pytest.mark.parametrize("kinds,size", [(1, 1), (2, 3), (16, 50)])
+def test_op10_by_hand(monkeypatch, kinds, size):
+    """The steps of the operator without Spark: few rows at once, crowded anchors, texts in parts."""
+    monkeypatch.setattr(substring, "KINDS", kinds)
+    monkeypatch.setattr(substring, "PART", 30)
+    monkeypatch.setattr(common, "SLICE_BYTES", 40)
+    r = random.Random(size)
+    line = " ".join(f"l{k}" for k in range(26))
+    passages = [" ".join(r.choice("abcdef") for _ in range(r.randrange(5, 60))) for _ in range(8)] + [line]
+    rows = [(k if k else None, " ".join(r.choice(passages) if r.random() < 0.7 else f"x{r.randrange(99)}" for _ in range(r.randrange(0, 9)))) for k in range(60)] + [(3, line), (3, line), (4, line + " " + line)]
+    cut = [pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[k : k + size]), (pa.int64(), pa.string()))], names=["doc_id", "text"]) for k in range(0, len(rows), size)]
+    parsed = pa.Table.from_batches([b for x in cut for b in substring._parsed([x])]).to_pylist()
+    apart = (substring.MATCHED, substring.ASKED)
+    parsed.sort(key=lambda x: (x["state"] in apart, x["anchor"], -x["state"], x["block"], x["shift"], x["n"], x["doc_id"] is not None, x["doc_id"] or 0, x["th"], x["at"]))
+    types = [("anchor", pa.int64()), ("block", pa.int64()), ("shift", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int64()), ("state", pa.int32()), ("src", pa.int64()), ("src_th", pa.int32()), ("src_at", pa.int64()), ("key", pa.int64())]
+    table = pa.Table.from_pylist([x | {"key": 0} for x in parsed], pa.schema(types))
+    spans = [x for b in substring._settled(iter(table.to_batches(size * 3))) for x in b.to_pylist()]
+    text = {(i, substring._mark(t.encode())): words(t) for i, t in rows}
+    where = defaultdict(set)
+    place = lambda i, th, at: (i is not None, i or 0, th, at)
+    for x in spans:
+        for at in range(x["at"], x["at"] + x["n"]) if not x["sure"] else ():
+            where[tuple(text[x["doc_id"], x["th"]][at : at + 20])].add((x["doc_id"], x["th"], at))
+    every = [x for x in spans if x["sure"]]
+    for found in where.values():
+        first = min(found, key=lambda f: place(*f))
+        every += [{"doc_id": i, "th": th, "at": at, "n": 1, "src": first[0], "src_th": first[1], "src_at": first[2]} for i, th, at in found if (i, th, at) != first]
+    by = defaultdict(list)
+    for x in every:
+        assert place(x["src"], x["src_th"], x["src_at"]) < place(x["doc_id"], x["th"], x["at"])
+        by[x["doc_id"], x["th"]].append(x)
+    import zstandard
+
+    z = zstandard.ZstdCompressor().compress
+    own = pa.Table.from_pylist([{"doc_id": i, "size": len(t), "z": z(t.encode()), "spans": by[i, substring._mark(t.encode())]} for i, t in rows])
+    got = [x for b in own.to_batches(7) for o in substring._kept([b]) for x in o.to_pylist()]
+    assert sorted((str(x["doc_id"]), x["n_words"], x["n_removed"], hashlib.sha256(x["kept"].encode()).hexdigest()) for x in got) == by_hash_order(rows)
+
+
+def by_hash_order(rows):
+    """brute_repeats, with different texts of one doc_id in the order of their marks."""
+    order = {x: k for k, x in enumerate(sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, substring._mark(r[1].encode()))))}
+    names = {str(order[x]): str(x[0]) for x in order}
+    return sorted((names[i], *rest) for i, *rest in brute_repeats([(order[i, t], t) for i, t in rows]))
+
+
 def test_op10_in_parts(monkeypatch):
     r = random.Random(1)
     w = np.array([r.choice([3, 5, 7]) for _ in range(500)], np.uint64)
@@ -280,6 +377,16 @@ def test_ledger_scans_each_blob_once(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
     _, again = secrets.scan_new(df, spark.read.parquet(path), "other")
     assert again.count() == 4  # a new rule version sees all blobs again
+    third = secrets.find_secrets(df, path)
+    assert third.where("scanned").count() == 0 and spark.read.parquet(path).count() == 4
+    check_secrets(secrets.digests(third).collect(), HIDDEN)
+    secrets.enter(df.unionByName(df.limit(0)), path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_rule_version_follows_the_rules(monkeypatch):
+    rules = "\n".join(f"{k} {r.flags} {r.pattern}" for k, r in zip(secrets.KINDS, (secrets._ASSIGN, secrets._ACCESS, secrets._HEX, secrets._PEM)))
+    assert secrets.RULE_VERSION == hashlib.sha256(rules.encode()).hexdigest()[:16]
 
 
 def test_redaction(spark, odd):
@@ -291,6 +398,18 @@ def test_redaction(spark, odd):
     assert secrets.redact(odd).count() == 10 and secrets.redact(odd).columns == odd.columns
 
 
+def test_redaction_beside_other_columns(spark):
+    """Columns named like those that the operator uses, and a nested one with spaces in its name."""
+    odd = ("found", "blob", "none", "id", "scanned", "__n", "__found", "__blob", "__salt", "__parts", "a b")
+    rows = [(k, t, *("kept" for _ in odd[:-1]), (k, [t])) for k, t in HIDDEN]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, text string", *(f"`{c}` string" for c in odd[:-1]), "`a b` struct<`x y`: long, z: array<string>>"]))
+    for run in (secrets.redact, simhash.representatives):
+        got = run(df)
+        assert got.columns == df.columns and got.schema["a b"].dataType == df.schema["a b"].dataType
+        assert all(r["a b"]["z"] == [dict(HIDDEN)[r.doc_id]] and r.found == "kept" for r in got.collect())
+    assert not any(brute_spans(r.text) for r in secrets.redact(df).collect())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     import duckdb
