@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, sliced, texts
+from .common import SLICE_BYTES, Rolling, Words, grouped, sliced, texts
 
 HASH_BITS, RANK, EXTRA, SEED = 18, 256, 8, 11
 #: Words a passage, and from one to the next.
@@ -32,8 +32,10 @@ PASSAGE, STEP = 40, 20
 COSINE = 0.3
 #: Shares of an item's words, in order: enough alone, and enough where the answer is found as well.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.6, 0.5, 0.8
-#: Items that are searched for at once; larger benchmarks take several passes.
-ITEMS = 20_000
+#: Items that are searched for at once, and bytes of theirs; larger benchmarks take several passes.
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
+#: Features that the singular vectors run over: the benchmark's heaviest. What the others hold counts as outside the space.
+SPACE = 1 << 15
 
 #: Letters and digits are word characters, and so are the bytes of other than ASCII characters.
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -92,12 +94,26 @@ def _gauss(feature: np.ndarray, columns: int) -> np.ndarray:
     return np.stack([np.random.default_rng((SEED, int(f))).standard_normal(columns) for f in feature]) if len(feature) else np.zeros((0, columns))
 
 
-def _sketch(batches, idf: np.ndarray, columns: int):
-    """This task's part of A'(A G): a row (feature, column, value) for each feature it has met."""
+def _weights(batches, idf: np.ndarray):
+    """How much of all passages' squared length each feature holds."""
+    total = np.zeros(1 << HASH_BITS)
+    for batch in sliced(batches):
+        for _, f, w in vectors(texts(batch), idf):
+            total[f] += w.astype(np.float64) ** 2
+    seen = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["feature", "weight"])
+
+
+def _sketch(batches, idf: np.ndarray, columns: int, row_of: np.ndarray, most: int):
+    """This task's part of A'(A G): a row (feature, column, value) for each feature of the space it has met."""
     total: dict[int, np.ndarray] = {}
     gauss: dict[int, np.ndarray] = {}
     for batch in sliced(batches):
         for _, f, w in vectors(texts(batch), idf):
+            inside = row_of[f] <= most
+            f, w = f[inside], w[inside]
+            if not len(f):
+                continue
             for x in f.tolist():
                 if x not in gauss:
                     gauss[x] = _gauss(np.array([x]), columns)[0]
@@ -105,41 +121,56 @@ def _sketch(batches, idf: np.ndarray, columns: int):
             for x, v in zip(f.tolist(), w):
                 total[x] = total.get(x, 0) + v * y
     for x, v in total.items():
-        yield pa.record_batch([pa.array(np.full(columns, x, np.int32)), pa.array(np.arange(columns, dtype=np.int32)), pa.array(v.astype(np.float64))], names=["feature", "place", "value"])
+        yield pa.record_batch([pa.array(np.full(columns, x, np.int32)), pa.array(np.arange(columns, dtype=np.int32)), pa.array(v.astype(np.float32))], names=["feature", "place", "value"])
 
 
-def _gram(batches, idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray):
-    total = np.zeros((basis.shape[1],) * 2)
+def _gram(batches, space: Space):
+    total = np.zeros((space.basis.shape[1],) * 2)
     for batch in sliced(batches):
-        for _, f, w in vectors(texts(batch), idf):
-            y = w @ basis[row_of[f]]
+        for _, f, w in vectors(texts(batch), space.idf):
+            y = w @ space.vectors(space.row_of[f])
             total += np.outer(y, y)
     yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["gram"])
 
 
 class Space:
-    """Right singular vectors: rows for the features that the benchmark has, zero for all others (row 0)."""
+    """Right singular vectors over the benchmark's heaviest features.
+
+    row_of: a row from 1 on for each feature that the benchmark has, 0 for all others. The heaviest come first; basis
+    has their rows, and those of the others are zero.
+    """
 
     def __init__(self, idf: np.ndarray, feature: np.ndarray, basis: np.ndarray):
         self.idf = idf
         self.row_of = np.zeros(1 << HASH_BITS, np.int32)
         self.row_of[feature] = np.arange(1, len(feature) + 1)
+        self.rows = len(feature) + 1
         self.basis = np.concatenate([np.zeros((1, basis.shape[1])), basis]).astype(np.float32)
 
+    def vectors(self, row: np.ndarray) -> np.ndarray:
+        return self.basis[np.where(row < len(self.basis), row, 0)]
+
 
 def singular_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
-    """The randomised SVD of the benchmark's passages; what is gathered is at most 2**HASH_BITS x (rank + EXTRA)."""
+    """The randomised SVD of the benchmark's passages; what is gathered is at most SPACE x (rank + EXTRA) values of 12 bytes (104 MB)."""
     given = benchmark.select(F.col("text").cast("string").alias("text"))
     columns = max(1, min(rank, 2 * benchmark.count()) + EXTRA)
-    z = given.mapInArrow(partial(_sketch, idf=idf, columns=columns), "feature int, place int, value double").groupBy("feature", "place").agg(F.sum("value").alias("value")).toArrow()
-    feature, row = np.unique(z.column("feature").to_numpy(), return_inverse=True)
+    held = given.mapInArrow(partial(_weights, idf=idf), "feature int, weight double").groupBy("feature").agg(F.round(F.sum("weight"), 6).alias("weight")).toArrow()
+    feature = held.column("feature").to_numpy()
     if not len(feature):
         return Space(idf, np.zeros(0, np.int64), np.zeros((0, 1)))
-    sums = np.zeros((len(feature), columns))
-    sums[row, z.column("place").to_numpy()] = z.column("value").to_numpy()
+    feature = feature[np.lexsort((feature, -held.column("weight").to_numpy()))]
+    most = min(SPACE, len(feature))
+    feature[:most].sort()
+    space = Space(idf, feature, np.zeros((most, columns)))
+    z = given.mapInArrow(partial(_sketch, idf=idf, columns=columns, row_of=space.row_of, most=most), "feature int, place int, value float").groupBy("feature", "place").agg(F.sum("value").cast("float").alias("value")).toArrow()
+    sums = np.zeros((most, columns))
+    sums[space.row_of[z.column("feature").to_numpy()] - 1, z.column("place").to_numpy()] = z.column("value").to_numpy()
+    del z
     q, _ = np.linalg.qr(sums)
+    q = np.pad(q, ((0, 0), (0, 1 if q.shape[1] == 0 else 0)))
     space = Space(idf, feature, q)
-    grams = given.coalesce(64).mapInArrow(partial(_gram, idf=idf, row_of=space.row_of, basis=space.basis), "gram array<double>").collect()
+    grams = given.coalesce(64).mapInArrow(partial(_gram, space=space), "gram array<double>").collect()
     value, vector = np.linalg.eigh(sum(np.array(r["gram"]) for r in grams).reshape((q.shape[1],) * 2))
     keep = np.argsort(-value)[:rank]
     keep = keep[value[keep] > 1e-8 * value.max()]
@@ -162,7 +193,7 @@ class Items:
         item, latent, rows, weights = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for k, f, w in vectors(docs, space.idf):
             item.append(k)
-            latent.append(w @ space.basis[space.row_of[f]])
+            latent.append(w @ space.vectors(space.row_of[f]))
             rows.append(space.row_of[f])
             weights.append(w)
         self.item = np.array(item, np.int64)
@@ -172,7 +203,7 @@ class Items:
         self.latent = np.where(self.norm[:, None] > 1e-6, whole / np.maximum(self.norm, 1e-6)[:, None], 0).astype(np.float32)
         row, passage = np.concatenate(rows), np.repeat(np.arange(len(item)), [len(x) for x in rows[1:]])
         order = np.argsort(row, kind="stable")
-        self.post = np.searchsorted(row[order], np.arange(len(space.basis) + 1))
+        self.post = np.searchsorted(row[order], np.arange(space.rows + 1))
         self.held, self.share = passage[order], np.concatenate(weights)[order]
         worded = np.flatnonzero(np.diff(first))
         rare = np.array([np.argmax(space.idf[_feature(self.words[k])]) for k in worded], np.int64)
@@ -265,7 +296,7 @@ def matches(docs: list[str], space: Space, items: Items) -> list[tuple[int, int,
         latent = np.zeros((len(own), space.basis.shape[1]), np.float32)
         for k, (a, b) in enumerate(zip(bounds, bounds[1:])):  # small dense products beat one large sparse one here
             if b > a:
-                latent[k] = weight[a:b] @ space.basis[row[a:b]]
+                latent[k] = weight[a:b] @ space.vectors(row[a:b])
         length = np.maximum(length, 1e-9)
         cosine = latent @ items.latent.T / length[:, None]
         # of a full cosine, the space has one part, and the lengths outside bound the other
@@ -295,13 +326,27 @@ def matches(docs: list[str], space: Space, items: Items) -> list[tuple[int, int,
     return sorted(out)
 
 
+def whole_matches(docs: list[str], space: Space, items: Items) -> list[tuple[int, int, float, float, float]]:
+    """As matches; very long texts go in parts that overlap by more than an item, and their best matches count."""
+    if max(map(len, docs), default=0) <= SLICE_BYTES // 4:
+        return matches(docs, space, items)
+    overlap = 4 * (PASSAGE + int(max(map(len, items.words), default=0)))
+    best: dict[tuple[int, int], tuple] = {}
+    for index, some in grouped((d.encode() for d in docs), overlap):
+        for d, item, c, share, said in matches([x.decode() for x in some], space, items):
+            best[index[d], item] = max(best.get((index[d], item), (0.0, 0.0, 0.0)), (share, said, c))
+    return sorted((d, item, c, share, said) for (d, item), (share, said, c) in best.items())
+
+
 def _passes(benchmark: DataFrame, space: Space, size: int = ITEMS) -> Iterator[Items]:
     held: list[tuple[int, str]] = []
+    held_bytes = 0
     for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        if len(held) == size:
+        if held and (len(held) == size or held_bytes + len(row["text"]) > ITEM_BYTES):
             yield Items(held, space)
-            held = []
+            held, held_bytes = [], 0
+        held.append((row["item_id"], row["text"]))
+        held_bytes += len(row["text"])
     if held:
         yield Items(held, space)
 
@@ -310,7 +355,7 @@ def _leaks(batches, space, items):
     space, items = space.value, items.value
     for batch in sliced(batches):
         ids = batch.column("doc_id").to_pylist()
-        rows = [(ids[d], items.ids[i], c, s, a) for d, i, c, s, a in matches(texts(batch), space, items)]
+        rows = [(ids[d], items.ids[i], c, s, a) for d, i, c, s, a in whole_matches(texts(batch), space, items)]
         columns = zip(*rows) if rows else [[]] * 5
         yield pa.record_batch([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
@@ -321,6 +366,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null or empty texts leak nothing, and null item_ids are reported as such. Repeated documents are reported each;
     repeated items each as well. Documents without words, or empty tables on either side, give no rows. cosine is the
     larger of the latent and the full one, and 0 where the item's very words are there but no passage reaches COSINE.
+    Very long texts are searched whole, in overlapping parts. Other columns are not read.
     """
     sc = docs.sparkSession.sparkContext
     space = singular_space(benchmark, inverse_frequencies(docs))
@@ -336,12 +382,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _clean(batches, space, items):
     space, items = space.value, items.value
     for batch in sliced(batches):
-        bad = {m[0] for m in matches(texts(batch), space, items)}
+        bad = {m[0] for m in whole_matches(texts(batch), space, items)}
         yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in bad], pa.int64()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, into which no item leaks."""
+    """The rows of docs, with all their columns, into which no item leaks; null and empty texts, and an empty table, stay as they are.
+
+    Each row is judged by its own text, so null and repeated doc_ids make no difference. Columns may have any names.
+    """
     sc = docs.sparkSession.sparkContext
     space = singular_space(benchmark, inverse_frequencies(docs))
     shared = sc.broadcast(space)
