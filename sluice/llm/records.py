@@ -5,7 +5,8 @@ A shard file holds records back to back, all integers little-endian:
     u64 n | u32 masked(crc32(the 8 bytes of n)) | n bytes of payload | u32 masked(crc32(payload))
 
 A payload is one document: i64 doc_id, u8 flags (1: doc_id is null), u8 bytes an id (2 or 4), then its ids.
-The index file beside it holds i64 doc_id, u64 offset, u32 n_ids a record, for reads in any order.
+The index file beside it holds i64 doc_id, u8 flags (1: doc_id is null), u64 offset, u32 n_ids a record, for reads in
+any order: read_index gives its rows, and read_at the records of any of them, however they were shuffled.
 Checksums are CRC-32 rotated right by 15 bits plus a constant, so that a checksum stored in data does not
 check itself. Shards follow ascending doc_id; the manifest lists those of successful tasks only, so files of
 lost or repeated task attempts are never read.
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import new_path, sliced, texts
 from .tokens import WORD_BPE, encoder
 
-_HEAD, _INDEX, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<qQI"), struct.Struct("<qBB")
+_HEAD, _INDEX, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<qBQI"), struct.Struct("<qBB")
 _MASK_DELTA = 0xA282EAD8
-_INDEX_TYPE = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u4")])
+_INDEX_TYPE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n_ids", "<u4")])
 
 
 def masked(data: bytes) -> int:
@@ -80,7 +81,7 @@ def _write_shard(batches, path: str, vocabulary: str, end_id: int | None):
                 ids = np.append(ids, np.uint32(end_id))
             record = frame(pack(doc_id, ids))
             out.write(record)
-            index.write(_INDEX.pack(doc_id or 0, at, len(ids)))
+            index.write(_INDEX.pack(doc_id or 0, doc_id is None, at, len(ids)))
             n_docs, n_tokens, at = n_docs + 1, n_tokens + len(ids), at + len(record)
     if out is not None:
         out.close()
@@ -139,10 +140,61 @@ def read_records(spark: SparkSession, path: str, manifest: list[dict]) -> DataFr
     return shards.repartition(max(1, len(rows))).mapInArrow(partial(_read_shards, path=path), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _indexed(batches, path: str):
+    store, base = pafs.FileSystem.from_uri(path)
+    for batch in batches:
+        for row in batch.to_pylist():
+            with store.open_input_stream(f"{base}/{row['file']}.idx") as f:
+                index = np.frombuffer(f.read(), _INDEX_TYPE)
+            ends = np.append(index["offset"][1:], np.uint64(row["n_bytes"])).astype(np.int64)
+            doc = pa.array(index["doc_id"].astype(np.int64), mask=index["null"].astype(bool))
+            offset = index["offset"].astype(np.int64)
+            yield pa.record_batch([pa.array([row["file"]] * len(index), pa.string()), doc, pa.array(offset), pa.array(ends - offset), pa.array(index["n_ids"].astype(np.int64))], names=["file", "doc_id", "offset", "n_bytes", "n_tokens"])
+
+
+def read_index(spark: SparkSession, path: str, manifest: list[dict]) -> DataFrame:
+    """(file, doc_id, offset, n_bytes, n_tokens) of every record; no record itself is read."""
+    shards = spark.createDataFrame([(m["file"], m["n_bytes"]) for m in manifest], "file string, n_bytes long")
+    return shards.repartition(max(1, len(manifest))).mapInArrow(partial(_indexed, path=path), "file string, doc_id long, offset long, n_bytes long, n_tokens long")
+
+
+def _read_at(batches, path: str):
+    store, base = pafs.FileSystem.from_uri(path)
+    name, file = None, None
+    try:
+        for batch in batches:
+            for part in sliced([batch], "n_bytes"):
+                found = []
+                for row in part.to_pylist():
+                    if row["file"] != name:
+                        if file:
+                            file.close()
+                        name, file = row["file"], store.open_input_file(f"{base}/{row['file']}.rec")
+                    payload, end = unframe(file.read_at(row["n_bytes"], row["offset"]), 0)
+                    doc_id, ids = unpack(payload)
+                    if end != row["n_bytes"] or doc_id != row["doc_id"] or len(ids) != row["n_tokens"]:
+                        raise ValueError(f"{name}: the record at {row['offset']} does not fit its index")
+                    found.append((doc_id, row["offset"], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype("<u4")))
+                yield _batch(found, "offset")
+    finally:
+        if file:
+            file.close()
+
+
+def read_at(rows: DataFrame, path: str) -> DataFrame:
+    """(doc_id, offset, n_tokens, ids_crc32, ids) of the records that rows of the index name, in whatever order they come.
+
+    rows: (file, doc_id, offset, n_bytes, n_tokens), shuffled, filtered or repeated at will; each is read at its offset
+    and checked. An empty table gives no rows.
+    """
+    wanted = rows.select("file", F.col("doc_id").cast("long").alias("doc_id"), "offset", "n_bytes", "n_tokens")
+    return wanted.mapInArrow(partial(_read_at, path=path), "doc_id long, offset long, n_tokens long, ids_crc32 long, ids array<int>")
+
+
+def _batch(rows: list[tuple], place: str = "start") -> pa.RecordBatch:
     doc_id, start, n, crc, ids = zip(*rows)
     lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(np.concatenate(ids).view("<i4"), pa.int32()))
-    return pa.record_batch([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    return pa.record_batch([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), lists], names=["doc_id", place, "n_tokens", "ids_crc32", "ids"])
 
 
 def round_trip(docs: DataFrame, vocabulary: str = WORD_BPE, end_id: int = 2) -> DataFrame:
