@@ -165,7 +165,11 @@ def train(docs: list[bytes], good: np.ndarray, passes: int = 12, batch: int = 64
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Network:
-    """Train on up to `labelled` labelled documents outside the held-out fold; null ids and labels are left out."""
+    """Train on up to `labelled` labelled documents outside the held-out fold.
+
+    Null ids, null labels and texts of more than sampling.LONGEST bytes are left out, so the sample has a bound in bytes;
+    a null text is empty. Without any labelled document, every score is a half.
+    """
     known = labels.where(fold("doc_id", FOLDS) != HELD_OUT).where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = texts_of(docs, smallest(known, labelled)).select("doc_id", "quality", "text").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"]))
@@ -181,7 +185,8 @@ def _scored(batches, model: Network):
 def score(docs: DataFrame, model: Network) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row, from its whole text; a null text counts as empty.
 
-    A null doc_id is not held out. Repeated rows score alike. Other columns are not read.
+    A null doc_id is not held out. Repeated rows score alike. Very long texts are scored whole, some chunks at a time.
+    Other columns are not read. An empty table gives no rows.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = given.mapInArrow(partial(_scored, model=model), "doc_id long, score double, predicted int")
@@ -195,5 +200,9 @@ def _accepted(batches, model: Network):
 
 
 def accepted(docs: DataFrame, model: Network) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores ACCEPT or more."""
+    """The rows of docs, with all their columns, whose text scores ACCEPT or more.
+
+    A null text counts as empty, and an empty one is scored like any other. Columns may have any names. An empty table
+    stays empty.
+    """
     return docs.mapInArrow(partial(_accepted, model=model), docs.schema)
