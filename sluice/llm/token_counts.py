@@ -11,6 +11,11 @@ Two deterministic machines, both compiled from the tokenizer's own file:
   unfinished vocabulary paths that end at this byte, each with the token before it and how many tokens were
   emitted since. A transition is annotated with the number of tokens it adds. States are compiled when first
   reached and kept in dense tables, over which all words of a batch step together.
+
+The merging machine is in its first state at every word's begin, whatever came before. So its map over a stretch that
+begins with a word is known from one entry state, the maps of chunks that consist of whole words compose by adding
+their counts, and words are the chunks that step side by side; only the segmentation, which crosses any cut, needs
+maps from all of its states and their scan. Texts of more than PART bytes are cut at white space, where both start anew.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import sliced, texts
+from .common import parts, sliced, texts
 from .tokens import WORD_BPE, byte_characters
 
 # Character classes: white space, number, other, apostrophe, letter, the letters s t m d, r v, e, l.
@@ -35,6 +40,8 @@ SPACE, NUMBER, OTHER, QUOTE, LETTER, ONE, TWO, E, L = range(9)
 OUT, LETTERS, OTHERS, QUOTED, EXPECT_E, EXPECT_L = range(6)
 #: What a transition marks: nothing, a word starting here, one at the character before, both.
 HERE, BEFORE = 1, 2
+#: Bytes of one text that are counted at once.
+PART = 1 << 20
 
 
 def segmentation() -> tuple[np.ndarray, np.ndarray]:
@@ -296,6 +303,10 @@ class Counter:
             return text.lower()
         return self.library.normalizer.normalize_str(text)
 
+    def long(self, doc: bytes, part: int = PART) -> np.ndarray:
+        """The count of one text, part by part."""
+        return np.array([sum(int(self.counts([p.decode()])[0]) for p in parts(doc, limit=part))], np.int64)
+
     def counts(self, docs: list[str]) -> np.ndarray:
         plain = ["" if any(x in t for x in self.special) else self._normal(t) for t in docs]
         joined = " ".join(plain) + " "
@@ -330,14 +341,14 @@ def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str = WORD_BPE)
 
     vocabulary: a name that public_tokenizers knows, or a path that all executors can open. A null text counts as
     empty: 0 bytes, 0 tokens. A null doc_id stays null. Repeated rows give repeated rows. Other columns are ignored.
-    Special strings inside texts count as the library's default has them (one token each).
+    Special strings inside texts count as the library's default has them (one token each). An empty table gives no rows.
     """
 
     def run(batches):
         count = counter(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        for batch in sliced(batches, limit=1 << 20):
-            docs = texts(batch)
-            n = count.counts(docs)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(t.encode()) for t in docs], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for batch in sliced(batches, limit=PART):
+            docs = [t.encode() for t in texts(batch)]
+            n = count.long(docs[0]) if len(docs) == 1 else count.counts([t.decode() for t in docs])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(t) for t in docs], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

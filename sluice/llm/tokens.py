@@ -24,6 +24,8 @@ _SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pieces that no word of that rule crosses; where white space stands alone, a split at each space or line end gives them.
 _PIECES = re.compile(r" ?[^\t\n\r\x20\xa0]+|[\t\n\r\x20\xa0]+(?![^\t\n\r\x20\xa0])|[\t\n\r\x20\xa0]+")
+#: Characters of a long text that are encoded at once, and where it may be cut.
+PART, _BETWEEN = 1 << 20, re.compile(r"(?<=\S) (?=\S)")
 _UNEVEN = ("\t", "\r", "\xa0", "  ", " \n", "\n ", "\n\n")
 
 
@@ -79,7 +81,18 @@ class MemoEncoder:
         # one line end or one space between words: the space goes with the word after it
         return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: str, part: int = PART) -> bytes:
+        if len(text) <= part:
+            return self._ids(text)
+        # a single space between words always begins a new one, so ids of the texts on either side follow one another
+        out, at = [], 0
+        while at < len(text):
+            cut = _BETWEEN.search(text, at + part)
+            out.append(self._ids(text[at : cut.start() if cut else len(text)]))
+            at = cut.start() if cut else len(text)
+        return b"".join(out)
+
+    def _ids(self, text: str) -> bytes:
         if not _SIMPLE.fullmatch(text) or any(x in text for x in self.special):
             return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         pieces, memo = self._pieces(text), self.memo
