@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, materialise, mixed, sliced
+from .common import Rolling, Words, grouped, materialise, mixed, sliced
 from .components import components
 from .tiles import deal, forest, groups
 
@@ -40,15 +40,16 @@ def shingles(docs: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 def signatures(docs: list[bytes]) -> np.ndarray:
     """(documents, PERMUTATIONS) of uint32; documents without words have the largest value everywhere."""
-    hashes, bounds = shingles(docs)
-    x = (mixed(hashes) >> np.uint64(32)).astype(np.uint32)
     out = np.full((len(docs), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
-    doc = np.repeat(np.arange(len(docs)), np.diff(bounds))
-    for at in range(0, len(x), 2048):
-        images = x[at : at + 2048, None] * _A + _B
-        own = doc[at : at + 2048]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        out[own[first]] = np.minimum(out[own[first]], np.minimum.reduceat(images, first, axis=0))
+    for index, some in grouped(docs, SHINGLE - 1):
+        hashes, bounds = shingles(some)
+        x = (mixed(hashes) >> np.uint64(32)).astype(np.uint32)
+        doc = np.repeat(np.array(index, np.int64), np.diff(bounds))
+        for at in range(0, len(x), 2048):
+            images = x[at : at + 2048, None] * _A + _B
+            own = doc[at : at + 2048]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            out[own[first]] = np.minimum(out[own[first]], np.minimum.reduceat(images, first, axis=0))
     return out
 
 
@@ -85,16 +86,17 @@ def _dealt(batches, bounds: list[int], heads: dict):
     for batch in sliced(batches):
         rows = []
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            z = press.compress((t or "").encode())
-            rows.append((_bucket(i, bounds), 0, i, z))
-            rows += [(b, 1, i, z) for b in heads.get(i, ())]
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "next", "doc_id", "z"])
+            data = (t or "").encode()
+            z = press.compress(data)
+            rows.append((_bucket(i, bounds), 0, i, len(data), z))
+            rows += [(b, 1, i, len(data), z) for b in heads.get(i, ())]
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "next", "doc_id", "size", "z"])
 
 
 def _compared(batches):
     """Rows come sorted by bucket; each document meets the one after it, and is held until that has come."""
     unpack, held, open_bucket = zstandard.ZstdDecompressor(), None, None
-    for batch in sliced(batches, "z", 1 << 20):
+    for batch in sliced(batches, "size"):  # unpacked
         rows = list(zip(*(batch.column(k).to_pylist() for k in ("bucket", "next", "doc_id", "z"))))
         chain, pairs = [held] if held else [], []
         for bucket, extra, i, z in rows:
@@ -128,7 +130,8 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     last the first; a lone document follows itself. The edited text has its last floor(n/2) code points replaced by
     the next document's first as many. Null texts are empty; texts without words are alike, and unlike all others.
     Documents are dealt to buckets of doc_ids, several for each shuffle partition; what reaches the driver is the
-    bounds and the first doc_id of each bucket. Only doc_id and text are read. An empty table gives no rows.
+    bounds and the first doc_id of each bucket. Very long texts are hashed in parts. Only doc_id and text are read, so
+    other columns may have any names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -141,7 +144,7 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     for k, row in enumerate(firsts):
         heads.setdefault(row["least"]["doc_id"] if row["least"]["has"] else None, []).append(firsts[k - 1]["bucket"])
     # a bucket's own rows come before the next bucket's first one
-    dealt = given.mapInArrow(partial(_dealt, bounds=bounds, heads=heads), "bucket int, next int, doc_id long, z binary")
+    dealt = given.mapInArrow(partial(_dealt, bounds=bounds, heads=heads), "bucket int, next int, doc_id long, size long, z binary")
     placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), "z")
     return placed.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
