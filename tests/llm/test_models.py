@@ -7,7 +7,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sluice.llm import decontaminate, quality, queries, toxicity
+from pyspark.sql import functions as F
+
+from sluice.llm import common, decontaminate, quality, queries, sampling, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,6 +100,136 @@ def test_scores_do_not_depend_on_the_company():
     assert np.allclose(net.scores(docs), [net.scores([d])[0] for d in docs])
 
 
+def test_toxicity_scores_by_hand(monkeypatch):
+    """Distinct words' weights, summed up in plain Python; long texts in parts."""
+    words = ["bad", "worse", "é", "ok"]
+    feature = np.array([int(common.Words([w.encode()]).hashes().view(np.int64)[0]) for w in words])
+    weight, order = np.array([2.0, 3.0, -1.5, 0.25]), np.argsort(feature)
+    model = toxicity.Model(feature[order], weight[order].astype(np.float32), -4.0)
+    docs = ["", "Bad bad, WORSE!", "bad-worse é " * 50, "ok " * 100 + "bad", "none of these"]
+    want = []
+    for d in docs:
+        plain_words = set("".join(c.lower() if c.isascii() else c if not c.isascii() else " " for c in "".join(c if not c.isascii() or c.isalpha() else " " for c in d)).split())
+        want.append(1 / (1 + np.exp(4.0 - sum(w for x, w in zip(words, weight) if x in plain_words))))
+    for limit in (10, 1 << 20):
+        monkeypatch.setattr(common, "SLICE_BYTES", limit)
+        assert np.allclose(model.scores([d.encode() for d in docs]), want)
+
+
+def test_quality_scores_by_hand():
+    """Repetition flags, filters, pooling and combination in plain loops."""
+    net = quality.Network(5)
+    net.p["shift"] = np.linspace(-0.3, 0.3, quality.FILTERS).astype(np.float32)
+    net.p["mean"], net.p["least"], net.p["base"] = (np.array([v], np.float32) for v in (0.7, 0.4, -0.1))
+    r = random.Random(4)
+    for n in (0, 3, 100, 256, 300, 700):
+        doc = bytes(r.choice(b"ab c") for _ in range(n // 2)) + (b"word again " * n)[: n - n // 2]
+        flag = [any(all(i + k < n and i >= lag and doc[i + k] == doc[i + k - lag] for k in range(quality.AGREE)) for lag in quality.LAGS) for i in range(n)]
+        logits, at = [], 0
+        while True:
+            data = [doc[at + k] if at + k < n else 32 for k in range(quality.CHUNK)]
+            marks = [flag[at + k] if at + k < n else False for k in range(quality.CHUNK)]
+            z = float(net.p["bias"][0])
+            for f in range(quality.FILTERS):
+                best = max(net.p["shift"][f] + sum(net.p["embed"][data[p + w]] @ net.p["filter"][w, :-1, f] + marks[p + w] * net.p["filter"][w, -1, f] for w in range(quality.WIDTH)) for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE))
+                z += max(best, 0) * net.p["out"][f]
+            logits.append(z)
+            if at + quality.CHUNK >= n:
+                break
+            at += quality.STEP
+        z = 0.7 * np.mean(logits) + 0.4 * min(logits) - 0.1
+        assert net.scores([doc])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_samples_have_a_bound(spark):
+    ids = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("k"))
+    ids = ids.unionByName(ids.where("doc_id = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n"))
+    for rows in (10, 100, 1000):
+        got = sampling.smallest(ids, rows)
+        assert 0.8 * rows <= got.count() <= rows
+        assert sorted(got.collect()) == sorted(sampling.smallest(ids.repartition(7), rows).collect())
+    assert sampling.smallest(ids, 5000).count() == 5000
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "x" * 50), (4, "no")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, k int")
+    assert sorted(tuple(r) for r in sampling.texts_of(docs, chosen, 40).collect()) == [(1, 0, "a"), (2, 1, "")]
+
+
+def test_op1_rules_by_hand(spark):
+    """Every pair by dense cosines, plain LCS and the answer rule; few words, so that many pairs are near the bounds."""
+    r = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(4, 20))) + ". " + " ".join(r.choices(vocabulary, k=r.randint(2, 6)))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        own = r.choice(items)[1].replace(".", "").split()
+        spoiled = [w for w in own if r.random() < r.choice([0.55, 0.65, 0.9])]
+        docs.append((k, " ".join(r.choices(vocabulary, k=r.randint(0, 30)) + spoiled + r.choices(vocabulary, k=r.randint(0, 60)))))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    n = len(docs)
+    df = {w: sum(w in d.split() for _, d in docs) for w in vocabulary}
+    idf = {w: np.log((1 + n) / (1 + df[w])) + 1 for w in vocabulary}
+
+    def passages(words):
+        return [(s, min(s + decontaminate.PASSAGE, len(words))) for s in decontaminate.passage_starts(len(words)).tolist()]
+
+    def vector(words):
+        v = {w: np.sqrt(words.count(w)) * idf[w] for w in set(words)}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    def lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    want, edge = set(), set()
+    for d, text in docs:
+        words = text.split()
+        for i, item in items:
+            own = item.replace(".", "").split()
+            answer = [s for s in item.split(".") if len(s.split()) >= 3][-1].split()
+            for a, b in passages(words):
+                cosine = max(sum(x * vector(words[a:b]).get(w, 0) for w, x in vector(own[c:e]).items()) for c, e in passages(own))
+                reach = max(len(own), decontaminate.STEP) // 2
+                part = words[max(0, a - reach) : b + reach]
+                share, said = lcs(own, part) / len(own), lcs(answer, part) / len(answer)
+                if share >= decontaminate.LCS_ALONE or (share >= decontaminate.LCS_WITH_ANSWER and said >= decontaminate.ANSWER):
+                    if cosine >= decontaminate.COSINE + 1e-3:
+                        want.add((d, i))
+                    elif cosine >= decontaminate.COSINE - 1e-3 or " ".join(own) in text:
+                        edge.add((d, i))
+    assert want and want <= got <= want | edge
+
+
+def test_op1_long_texts_in_parts(monkeypatch):
+    """A text in overlapping parts has the same leaks as the whole one."""
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(900)]
+    texts = [" ".join(r.choices(vocabulary, k=25)) for _ in range(8)]
+    idf = np.ones(1 << decontaminate.HASH_BITS, np.float32)
+    feature = np.unique(decontaminate._feature(decontaminate._words(texts)[0]))
+    space = decontaminate.Space(idf, feature, np.linalg.qr(np.random.default_rng(1).standard_normal((len(feature), 6)))[0])
+    items = decontaminate.Items(list(enumerate(texts)), space)
+    doc = " ".join(x for t in texts[:6] for x in (t, " ".join(r.choices(vocabulary, k=300))))
+    whole = {(d, i) for d, i, *_ in decontaminate.matches([doc, "short"], space, items)}
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 16)
+    for limit in (200, 3000):
+        monkeypatch.setattr(common, "SLICE_BYTES", limit)
+        assert {(d, i) for d, i, *_ in decontaminate.whole_matches([doc, "short"], space, items)} == whole == {(0, i) for i in range(6)}
+
+
+def test_op1_space_over_the_heaviest_words_only(spark, monkeypatch):
+    """Features beyond the space's bound count as outside of it, and no leak is lost."""
+    monkeypatch.setattr(decontaminate, "SPACE", 40)
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)
+    docs, items = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = {(d, i) for d, t in docs[["doc_id", "text"]].values for i, x in items[["item_id", "text"]].values if f" {plain(x)} " in f" {plain(t)} "}
+    bench = spark.createDataFrame(items[["item_id", "text"]])
+    assert want == {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs[["doc_id", "text"]]), bench).collect()}
+
+
 def test_lcs():
     r = random.Random(0)
     for _ in range(100):

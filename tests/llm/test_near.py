@@ -165,6 +165,35 @@ def check_edited(got, rows):
         assert own[0].near_edited == (f[0] == f[1]).mean() and own[0].near_next == (f[0] == f[2]).mean()
 
 
+def plain_signature(text):
+    """The permutations' smallest images in plain Python integers."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & full
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def word(w):
+        return mix(sum((c + 1) * pow(common._BASE, k, 1 << 64) for k, c in enumerate(w)) & full ^ len(w) * 0xBF58476D1CE4E5B9 & full)
+
+    w = [word(x) for x in text.split()]
+    grams = [w[k : k + 5] for k in range(max(1, len(w) - 4))] if w else []
+    seen = {mix(sum(h * pow(common._ROLL, k, 1 << 64) for k, h in enumerate(g)) & full) for g in grams}
+    seen = {mix(x) >> 32 for x in seen}
+    return [min(((x * int(a) + int(b)) & 0xFFFFFFFF for x in seen), default=0xFFFFFFFF) for a, b in zip(minhash._A, minhash._B)]
+
+
+def test_signatures_by_hand(monkeypatch):
+    r = random.Random(8)
+    docs = [b"", b" \n", b"one", b"one two three four", b"a b c d e", *(" ".join(r.choice(["x", "yy", "é", "zzz,", "日本"]) for _ in range(n)).encode() for n in (6, 50, 400))]
+    want = [plain_signature(d) for d in docs]
+    for limit in (8, 100, 1 << 20):
+        monkeypatch.setattr(common, "SLICE_BYTES", limit)
+        assert minhash.signatures(docs).tolist() == want
+
+
 def test_op9(spark, sf):
     got = queries.op9_minhash(spark, sf).collect()
     check_edited(got, documents(sf).values.tolist())

@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import packing, queries, records, token_counts, tokens
+from sluice.llm import common, packing, queries, records, token_counts, tokens
 
 
 @pytest.fixture(scope="module")
@@ -153,3 +154,36 @@ def test_plan_fills_every_rank_once(capacity):
         for length, count in counts.items():
             own = sorted((r[1], r[2]) for r in rows if r[0] == length)
             assert [a for a, _ in own] == np.concatenate(([0], np.cumsum([b for _, b in own])[:-1])).tolist() and sum(b for _, b in own) == count
+
+
+def test_shuffled_reads_by_the_index(spark, odd, none):
+    """Records read at their offsets in any order, some twice, equal those read in sequence; null ids are told from zero."""
+    docs = odd.unionByName(spark.createDataFrame([(0, "zero has an id")], "doc_id long, text string"), allowMissingColumns=True)
+    path = common.new_path(spark, "records")
+    manifest = records.write_records(docs, path)
+    index = records.read_index(spark, path, manifest)
+    order = index.unionByName(index.where("doc_id = 7")).orderBy(F.rand(3)).repartition(3, "offset")
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_crc32, tuple(r.ids)) for r in records.read_at(order, path).collect())
+    whole = [(str(r.doc_id), r.n_tokens, r.ids_crc32, tuple(r.ids)) for r in records.read_records(spark, path, manifest).collect()]
+    assert got == sorted(whole + [x for x in whole if x[0] == "7"])
+    assert {r.doc_id for r in index.collect()} == {r.doc_id for r in docs.collect()}
+    with pytest.raises(Exception, match="does not fit|differs"):
+        records.read_at(index.where("doc_id = 7").withColumn("offset", F.col("offset") + 1), path).collect()
+    empty = common.new_path(spark, "records")
+    assert records.read_at(records.read_index(spark, empty, records.write_records(none, empty)), empty).count() == 0
+
+
+def test_long_texts_in_parts(sf):
+    """Ids and counts of texts that are cut, against the library on the whole texts."""
+    r = random.Random(2)
+    words = ["don't", "we'll", "é", "Ünï", "12", "...", "<|endoftext|>", "日本", "x" * 50, "İ", "a\tb", "\n\n", "  ", " \n"]
+    texts = ["".join(r.choice(words) + r.choice([" ", "  ", "\n", ""]) for _ in range(400)) for _ in range(6)] + ["", "x" * 500, " " * 300]
+    for name in (tokens.WORD_BPE, tokens.BYTE_BPE):
+        library, encode = Tokenizer.from_file(public_tokenizers.path(name)), tokens.encoder(name)
+        for t in texts:
+            for part in (20, 333):
+                assert np.frombuffer(encode.ids(t, part), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    library, count = Tokenizer.from_file(public_tokenizers.path(tokens.WORD_BPE)), token_counts.counter(public_tokenizers.path(tokens.WORD_BPE))
+    for t in texts:
+        for part in (20, 333):
+            assert count.long(t.encode(), part).tolist() == [len(library.encode(t, add_special_tokens=False).ids)]
