@@ -143,7 +143,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: A key is hot that has more than HOT_ROWS rows and more than a HOT_SHARE-th of all; so fewer than HOT_SHARE keys are hot.
-HOT_ROWS, HOT_SHARE = 1000, 20_000
+HOT_ROWS, HOT_SHARE = 250, 20_000
 
 
 def hot_keys(counts: DataFrame, total: int) -> DataFrame | None:

@@ -80,7 +80,7 @@ def _scan_new(docs: DataFrame, ledger: DataFrame | None, rule_version: str = RUL
     """As scan_new, and the blobs of very many paths. The entries are None where all is known; they are not written yet."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    paths = materialise(given.select("doc_id", _blob(F.col("text")).alias("blob")), "paths")
+    paths = given.select("doc_id", _blob(F.col("text")).alias("blob"))  # hashing again is cheaper than keeping them
     blobs = materialise(paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("__n")), "blobs")
     total = blobs.agg(F.sum("__n")).first()[0] or 0
     hot = hot_keys(blobs.select("blob", "__n"), total)
