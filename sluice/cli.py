@@ -14,8 +14,9 @@ from .sources import exchange, flows
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
-    r = exchange.read_results(spark, folder)
-    return r.withColumns({"fpr": metrics.fpr(), "attack_traffic": F.col("fn")})
+    """Results of all files below a folder; of a configuration and window that repeat, those of the last file count."""
+    r = exchange.read_results(spark, folder).withColumns({"fpr": metrics.fpr(), "attack_traffic": F.col("fn")})
+    return select.last_written(select.rounded_limits(r), "file", "evasion_ips")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -63,15 +64,18 @@ def run(args: argparse.Namespace, spark: SparkSession, grid: dict | None = None)
     if args.command == "allowlist":
         config = flows.read_config(args.config) if args.config else prototype.Configuration()
         now = args.now if args.now is not None else int(time.time())
-        exchange.write_allowlist(prototype.one_shot_allowlist(flows.slim(flows.read_json(spark, args.files)), config, now), args.output)
+        four, six = (prototype.one_shot_allowlist(f, config, now) for f in flows.both_families(flows.read_json(spark, args.files)))
+        exchange.write_allowlist(four.unionByName(six), args.output)
     elif args.command == "aggregate":
         if args.time_start >= args.time_end:
             raise ValueError("the time range is empty")
-        dns = ingest.valid_flows(ingest.dns_flows(flows.slim(flows.read_json(spark, args.files))))
-        exchange.write_aggregates(ingest.aggregates(dns, args.agg_interval, 24, args.time_start, args.time_end), args.output)
+        dns = [ingest.valid_flows(ingest.dns_flows(f)) for f in flows.both_families(flows.read_json(spark, args.files))]
+        exchange.write_aggregates(args.output, *(ingest.aggregates(f, args.agg_interval, 24, args.time_start, args.time_end, 48) for f in dns))
     elif args.command == "store":
-        parts = [exchange.read_aggregates(spark, f, args.location) for f in args.files]
-        exchange.store_aggregates(ingest.merge(*parts), args.table, args.interval)
+        for family in (4, 6):
+            rows = ingest.merge(*(exchange.read_aggregates(spark, f, args.location, family) for f in args.files))
+            if family == 4 or not rows.isEmpty():
+                exchange.store_aggregates(rows, exchange.table_of(args.table, family), args.interval)
     elif args.command == "evaluate":
         stored = exchange.read_stored(spark, args.table).where("agg_interval = 3600")
         grid = grid or FULL_GRID
@@ -84,17 +88,17 @@ def run(args: argparse.Namespace, spark: SparkSession, grid: dict | None = None)
         evading = evaluate.seeded_sample(rates, args.evasion_ips) if args.evasion_ips else None
         lengths = tuple(sorted({*grid["train_lengths"], *grid["test_lengths"]}))
         stats = windows.window_stats(series.dense_series(stored), lengths).persist()
-        done = evaluate.evaluate_grid(stats, hit, (axis["last"] - axis["first"]) // 3600 + 1, **grid, evasion=evading)
+        done = evaluate.evaluate_grid(stats, hit, (axis["last"] - axis["first"]) // 3600 + 1, **grid, evasion=evading, missing="error")
         exchange.write_results(done, f"{args.output}/{args.evasion_ips}ips" if args.evasion_ips else args.output, args.bits_per_second)
         stats.unpersist()
     else:
         extra = f"_{args.extra}" if args.extra else ""
         results = _results(spark, f"{args.folder}/{args.configuration}")
         if args.command == "optimise":
-            exchange.write_report(select.global_optimum(results), f"{args.folder}/global_opt_results_{args.configuration}{extra}")
-            exchange.write_report(select.day_forward(results), f"{args.folder}/dfc_results_{args.configuration}{extra}")
+            exchange.write_optima(select.global_optimum(results), f"{args.folder}/global_opt_results_{args.configuration}{extra}.json")
+            exchange.write_optima(select.day_forward(results), f"{args.folder}/dfc_results_{args.configuration}{extra}.json")
         else:
-            exchange.write_report(select.evasion_means(results), f"{args.folder}/results_evasion_{args.configuration}{extra}")
+            exchange.write_evasions(select.evasion_means(results), f"{args.folder}/results_evasion_{args.configuration}{extra}.json")
 
 
 def main() -> None:

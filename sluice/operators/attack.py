@@ -12,8 +12,8 @@ SECONDS = 3600
 
 
 def weights_by_network(attackers: DataFrame, prefix: int = 24) -> DataFrame:
-    """(src_net, weight) from (src_addr, weight)."""
-    return attackers.groupBy(net.mask_v4(F.col("src_addr"), prefix).alias("src_net")).agg(F.sum("weight").alias("weight"))
+    """(src_net, weight) from (src_addr, weight) of either family, by one prefix."""
+    return attackers.groupBy(net.network(attackers, "src_addr", prefix, prefix).alias("src_net")).agg(F.sum("weight").alias("weight"))
 
 
 def attack_rates(weights: DataFrame, bits_per_second: int) -> DataFrame:

@@ -70,6 +70,24 @@ def score(rows: DataFrame, by: list[str], low_pass: float, above_limit: float, s
     return live.select(*by, *(v.alias(k) for k, v in each.items()), (attack + test).alias("total")).groupBy(*by).agg(*(F.sum(c).alias(c) for c in (*each, "total")))
 
 
+def check_intervals(stats: DataFrame, attack: DataFrame, hours: int, train_lengths: tuple[int, ...], test_lengths: tuple[int, ...]) -> None:
+    """An error if a place of the attack has no traffic interval for a window that the evaluation uses."""
+    wanted = []
+    for t in sorted({*train_lengths, *test_lengths}):
+        first = 1 if t in train_lengths else min(train_lengths) + 1
+        last = hours - t + 1 if t in test_lengths else hours - t - min(test_lengths) + 1
+        if last >= first:
+            wanted.append(F.struct(F.lit(t).alias("t"), F.lit(first).alias("first"), F.lit(last).alias("last")))
+    if not wanted:
+        return
+    spans = attack.select(*PLACE).distinct().select(*PLACE, F.inline(F.array(*wanted)))
+    seen = stats.groupBy(*PLACE, F.col("train_window").alias("t"), "time_start").agg(F.lit(1).alias("one"))
+    found = spans.join(seen, [*PLACE, "t"], "left").groupBy(*PLACE, "t", "first", "last").agg(F.count_if(F.col("time_start").between(F.col("first"), F.col("last"))).alias("n"))
+    gaps = found.where("n < last - first + 1").orderBy(*PLACE, "t").limit(1).collect()
+    if gaps:
+        raise ValueError(f"no traffic interval for some of the windows of {gaps[0]['t']} hours at {gaps[0]['location']}, {gaps[0]['dst_addr']}")
+
+
 def evaluate_grid(
     stats: DataFrame,
     attack: DataFrame,
@@ -83,6 +101,7 @@ def evaluate_grid(
     sampling: float = SAMPLING,
     evasion: DataFrame | None = None,
     evasion_mode: str = "as_published",
+    missing: str = "empty",
 ) -> DataFrame:
     """(location, dst_addr, window_start, train_length, test_length, min_active, min_pkts_avg, low_pass, above_limit, tp, tn, fp, fn, total).
 
@@ -95,8 +114,13 @@ def evaluate_grid(
 
     attack: (location, dst_addr, src_net, attack). hours: length of the series. evasion: (src_net) of attackers that
     made themselves known: their train traffic is the window's largest. In mode "extend_allowlist" they are on the
-    allowlist too; as published they are only if they were anyhow.
+    allowlist too; as published they are only if they were anyhow. Sources are listed by their own train traffic, so
+    none can be listed without any. missing: a window without any traffic at a place is "empty", or an "error".
     """
+    if missing not in ("error", "empty"):
+        raise ValueError("missing is 'error' or 'empty'")
+    if missing == "error":
+        check_intervals(stats, attack, hours, train_lengths, test_lengths)
     if evasion_mode not in ("as_published", "extend_allowlist"):
         raise ValueError("evasion_mode is 'as_published' or 'extend_allowlist'")
     low = [("low", float(v)) for v in low_passes]

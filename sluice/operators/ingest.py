@@ -1,6 +1,7 @@
 """From flow records to packet counts by time bucket and source network.
 
-Flows have: location, src_addr, dst_addr (BIGINT), proto, dst_port, first_us, last_us, in_packets, in_bytes.
+Flows have: location, src_addr, dst_addr, proto, dst_port, first_us, last_us, in_packets, in_bytes. Addresses are BIGINT in
+flows of IPv4 and BINARY in those of IPv6; a table has one family.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def dns_flows(flows: DataFrame, networks: list | None = None, protocols: tuple[i
     found = flows.where(F.col("dst_port") == net.DNS_PORT)
     if protocols is not None:
         found = found.where(F.col("proto").isin(*protocols))
-    return found if networks is None else found.where(net.in_networks_v4(F.col("dst_addr"), networks))
+    return found if networks is None else found.where(net.in_networks(flows, "dst_addr", networks))
 
 
 def _gap_ns() -> Column:
@@ -67,7 +68,7 @@ def bucket_packets(flows: DataFrame, interval: int = 3600) -> DataFrame:
     return each.withColumn("n", n.cast("long")).where("n > 0").withColumn("time", F.expr("start_ns div 1000000000")).drop("gap", "start_ns")
 
 
-def aggregates(flows: DataFrame, interval: int = 3600, v4_prefix: int = 24, start: int = 0, end: int = (1 << 32) - 1) -> DataFrame:
+def aggregates(flows: DataFrame, interval: int = 3600, v4_prefix: int = 24, start: int = 0, end: int = (1 << 32) - 1, v6_prefix: int = 48) -> DataFrame:
     """Packets by (location, src_net, dst_addr, proto, time), for buckets in [start, end).
 
     The range is also put to whole flows, which a scan can skip.
@@ -76,7 +77,7 @@ def aggregates(flows: DataFrame, interval: int = 3600, v4_prefix: int = 24, star
         raise ValueError(f"the interval is one of {INTERVALS}")
     near = flows.where((F.col("last_us") >= start * 1_000_000) & (F.col("first_us") < (end + interval) * 1_000_000))
     counted = bucket_packets(near, interval).where((F.col("time") >= start) & (F.col("time") < end))
-    return counted.groupBy("location", net.mask_v4(F.col("src_addr"), v4_prefix).alias("src_net"), "dst_addr", "proto", "time").agg(F.sum("n").alias("total_packets"))
+    return counted.groupBy("location", net.network(flows, "src_addr", v4_prefix, v6_prefix).alias("src_net"), "dst_addr", "proto", "time").agg(F.sum("n").alias("total_packets"))
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def merge(*parts: DataFrame) -> DataFrame:
     return out.groupBy("location", "src_net", "dst_addr", "proto", "time").agg(F.sum("total_packets").alias("total_packets"))
 
 
-def source_buckets(flows: DataFrame, interval: int = 3600, v4_prefix: int = 24) -> DataFrame:
+def source_buckets(flows: DataFrame, interval: int = 3600, v4_prefix: int = 24, v6_prefix: int = 48) -> DataFrame:
     """Packets by (src_net, time) as the one-shot allowlist counts them.
 
     A flow within one bucket counts there at once, with no packets as well. Others are spread in floating point, as
@@ -99,5 +100,5 @@ def source_buckets(flows: DataFrame, interval: int = 3600, v4_prefix: int = 24)
     at = first + F.col("i") * ((last - first) / (F.col("in_packets") - 1))
     places = F.when(one, F.array(F.lit(0).cast("long"))).when(F.col("in_packets") > 1, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("in_packets") - 1, F.lit(0))))
     time = F.when(one, low).otherwise(F.floor(at - at % interval))
-    each = flows.withColumn("i", F.explode(places)).select(net.mask_v4(F.col("src_addr"), v4_prefix).alias("src_net"), time.alias("time"), F.when(one, F.col("in_packets")).otherwise(F.lit(1)).alias("n"))
+    each = flows.withColumn("i", F.explode(places)).select(net.network(flows, "src_addr", v4_prefix, v6_prefix).alias("src_net"), time.alias("time"), F.when(one, F.col("in_packets")).otherwise(F.lit(1)).alias("n"))
     return each.groupBy("src_net", "time").agg(F.sum("n").alias("packets"))

@@ -34,7 +34,8 @@ def allowlist_of(buckets: DataFrame, config: Configuration, now: int) -> DataFra
 
 
 def one_shot_allowlist(flows: DataFrame, config: Configuration, now: int) -> DataFrame:
-    """(ip, packets) from flows of any protocol to port 53 of the configured destinations."""
+    """(ip, packets) from flows of any protocol, of one family, to port 53 of the configured destinations."""
     kept = dns_flows(flows, net.networks(list(config.destination_addresses)), None)
-    buckets = source_buckets(kept, config.aggregation_time, config.ipv4_aggregation)
-    return allowlist_of(buckets, config, now).select(net.format_v4(F.col("src_net")).alias("ip"), "packets")
+    buckets = source_buckets(kept, config.aggregation_time, config.ipv4_aggregation, config.ipv6_aggregation)
+    found = allowlist_of(buckets, config, now)
+    return found.select(net.text_of(found, "src_net").alias("ip"), "packets")

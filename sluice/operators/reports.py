@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import net
 from .evaluate import SAMPLING
 
 
@@ -31,9 +32,7 @@ def hourly_rates(peaks: DataFrame) -> DataFrame:
 
 def sources_by_network(packets: DataFrame) -> DataFrame:
     """(src_net, n_sources): how many addresses of each /24 were seen."""
-    from ..functions.net import mask_v4
-
-    return packets.groupBy(mask_v4(F.col("src_addr"), 24).alias("src_net")).agg(F.count_distinct("src_addr").alias("n_sources")).orderBy("src_net")
+    return packets.groupBy(net.mask_v4(F.col("src_addr"), 24).alias("src_net")).agg(F.count_distinct("src_addr").alias("n_sources")).orderBy("src_net")
 
 
 def linear_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -108,9 +107,35 @@ def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) ->
 
 
 def summary(optima: DataFrame, by: tuple[str, ...] = ("test_length", "low_pass"), test_lengths: tuple[int, ...] = (8, 24, 72)) -> DataFrame:
-    """Minimum, mean, median and maximum of rates and of attack traffic in packets a second."""
+    """Minimum, mean, median, weighted mean, weighted median and maximum of rates and of attack traffic in packets a second.
+
+    A column `weight` weighs the rows; without it all weigh alike.
+    """
     rows = optima.where(F.col("test_length").isin(*test_lengths)).withColumn("traffic", F.col("avg_attack_traffic") / 3600)
-    return rows.groupBy(*by).agg(*(f(c).alias(f"{n}_{short}") for c, short in (("avg_fpr", "fpr"), ("traffic", "traffic")) for f, n in ((F.min, "min"), (F.avg, "avg"), (F.median, "med"), (F.max, "max"))))
+    if "weight" not in rows.columns:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    of = (("avg_fpr", "fpr"), ("traffic", "traffic"))
+    plain = [f(c).alias(f"{n}_{short}") for c, short in of for f, n in ((F.min, "min"), (F.avg, "avg"), (F.median, "med"), (F.max, "max"))]
+    mean = [F.try_divide(F.sum(F.col(c) * F.col("weight")), F.sum(F.when(F.col(c).isNotNull(), F.col("weight")))).alias(f"avgw_{short}") for c, short in of]
+    # a group has a row for each series, of which there are few, so its values fit into an array
+    pairs = [F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("weight").cast("double").alias("w"))))).alias(f"pairs_{short}") for c, short in of]
+    out = rows.groupBy(*by).agg(*plain, *mean, *pairs)
+    return out.select(*(c for c in out.columns if not c.startswith("pairs_")), *(_middle(F.col(f"pairs_{short}")).alias(f"medw_{short}") for _, short in of))
+
+
+def _middle(pairs: Column) -> Column:
+    """The weighted median, as weighted_median has it, of a sorted array of (v, w)."""
+    weight = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x["w"])
+
+    def chosen(x: Column) -> Column:
+        rows, half = x["rows"], x["half"]
+        heavy = F.array_max(F.transform(F.filter(rows, lambda r: r["w"] > half), lambda r: F.struct(r["w"], r["v"])))
+        steps = F.transform(rows, lambda r, k: F.struct(weight(F.slice(rows, 1, k + 1)).alias("upto"), r["v"].alias("v"), r["w"].alias("w"), F.when(k > 0, F.try_element_at(rows, F.greatest(k, F.lit(1)))["v"]).alias("before")))
+        first = F.filter(steps, lambda r: r["upto"] > half)
+        own = lambda r: F.when(F.abs(r["upto"] - r["w"] - half) < 2.220446049250313e-16, (r["before"] + r["v"]) / 2).otherwise(r["v"])
+        return F.coalesce(heavy["v"], F.try_element_at(F.transform(first, own), F.lit(1)))
+
+    return net.let(F.struct(pairs.alias("rows"), (weight(pairs) * 0.5).alias("half")), chosen)
 
 
 def churn(results: DataFrame, fixed_start: int = 1) -> DataFrame:

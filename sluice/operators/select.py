@@ -6,7 +6,7 @@ Results have a row for each (location, dst_addr, attack_bandwidth, test_length,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import strict_mean
@@ -15,10 +15,16 @@ SERIES = ("location", "dst_addr", "attack_bandwidth", "test_length", "low_pass")
 PARAMS = ("train_length", "min_active", "min_pkts_avg", "above_limit")
 
 
-def last_written(results: DataFrame, order: str) -> DataFrame:
-    """One row for each configuration and window: of repeated ones, that with the largest `order`."""
-    rest = [c for c in results.columns if c not in (*SERIES, *PARAMS, "window_start", order)]
-    return results.groupBy(*SERIES, *PARAMS, "window_start").agg(*(F.max_by(c, order).alias(c) for c in rest))
+def rounded_limits(results: DataFrame) -> DataFrame:
+    """The same rows with limits as parameters are keyed by them: the nearest whole number, halves away from zero."""
+    return results.withColumn("above_limit", F.round("above_limit").cast("int"))
+
+
+def last_written(results: DataFrame, order: str, *also: str) -> DataFrame:
+    """One row for each configuration and window (and columns `also`): of repeated ones, that with the largest `order`."""
+    key = [*also, *SERIES, *PARAMS, "window_start"]
+    rest = [c for c in results.columns if c not in (*key, order)]
+    return results.groupBy(*key).agg(*(F.max_by(c, order).alias(c) for c in rest))
 
 
 def global_optimum(results: DataFrame) -> DataFrame:
@@ -61,6 +67,6 @@ def evasion_means(results: DataFrame) -> DataFrame:
     return dense_starts(results, keys).groupBy(*keys).agg(strict_mean("fpr").alias("fpr"), F.avg("attack_traffic").alias("attack_traffic"))
 
 
-def evasion_lookup(means: DataFrame, order: str = "attack_bandwidth") -> DataFrame:
+def evasion_lookup(means: DataFrame, order: Column | str = "attack_bandwidth") -> DataFrame:
     """One row for each location and number of evading networks; of several the last in order."""
     return means.groupBy("location", "evasion_ips").agg(F.max_by("fpr", order).alias("fpr"), F.max_by(F.col("attack_traffic") / 3600, order).alias("attack_per_second"))

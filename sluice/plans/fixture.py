@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import net
 from ..operators import attack, evaluate, ingest, series, windows
 
 NET0, DST_A, DST_B = 167772160, 3325256705, 3325256706
@@ -30,6 +31,15 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flows_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flows between IPv6 addresses: 10.0.k.x is 2001:db8:k::(x + 1)."""
+    f = flows(spark, sf_dir)
+    k, x = F.shiftright("src_addr", 8).bitwiseAND(255), F.col("src_addr").bitwiseAND(255)
+    src = F.concat(F.lit("2001:db8:"), F.lower(F.hex(k)), F.lit("::"), F.hex(x + 1))
+    dst = F.when(F.col("dst_addr") == DST_A, "2001:db8:ffff::53").otherwise("2001:0DB8:ffff:0:0:0:198.51.100.2")
+    return f.withColumns({"src_addr": net.parse_v6(src), "dst_addr": net.parse_v6(dst)})
+
+
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.dns_flows(flows(spark, sf_dir))
 
@@ -138,6 +148,14 @@ _SQL["scored"] = (("cells", "cfg"), """SELECT location, dst_addr, window_start,
  SELECT c.*, g.min_active, g.min_pkts_avg, g.low_pass, g.above_limit, coalesce(attack, 0.0) AS a, coalesce(test * 10, 0.0) AS b,
  CASE WHEN active >= g.min_active AND train >= g.min_pkts_avg THEN train * 10 * g.above_limit ELSE CAST(g.low_pass AS DOUBLE) END AS lim
  FROM cells c JOIN cfg g USING (train_length, test_length) WHERE attack IS NOT NULL OR test IS NOT NULL)) GROUP BY ALL""")
+_SQL["scored_evading"] = (("cells", "cfg", "attackers"), """SELECT location, dst_addr, window_start, train_length, test_length, min_active, min_pkts_avg, low_pass, above_limit,
+ sum(a - fn) AS tp, sum(tn) AS tn, sum(b - tn) AS fp, sum(fn) AS fn FROM (
+ SELECT *, least(b, lim * (1 - a / (a + b))) AS tn, least(a, lim * (a / (a + b))) AS fn FROM (SELECT c.*, g.min_active, g.min_pkts_avg, g.low_pass, g.above_limit, coalesce(attack, 0.0) AS a, coalesce(test * 10, 0.0) AS b,
+ CASE WHEN active >= g.min_active AND train >= g.min_pkts_avg THEN CASE WHEN evading THEN largest ELSE train END * 10 * g.above_limit ELSE CAST(g.low_pass AS DOUBLE) END AS lim
+ FROM (SELECT *, max(train) OVER (PARTITION BY location, dst_addr, window_start, train_length, test_length) AS largest, src_net IN (SELECT src_net FROM attackers WHERE (src_net // 256) % 4 = 0) AS evading FROM cells) c
+ JOIN cfg g USING (train_length, test_length) WHERE train_length = 24 AND (attack IS NOT NULL OR test IS NOT NULL))) GROUP BY ALL""")
+_SQL["evaded"] = (("results", "scored_evading", "attackers"), """SELECT CAST(0 AS BIGINT) AS evasion_ips, location, dst_addr, attack_bandwidth, test_length, low_pass, train_length, min_active, min_pkts_avg, above_limit, window_start, fpr, attack_traffic FROM results WHERE train_length = 24
+ UNION ALL SELECT (SELECT count(*) FROM attackers WHERE (src_net // 256) % 4 = 0), location, dst_addr, 4444, test_length, low_pass, train_length, min_active, min_pkts_avg, above_limit, window_start, round(fp / nullif(fp + tn, 0), 9), fn FROM scored_evading""")
 _SQL["results"] = (("scored",), """SELECT location, dst_addr, 4444 AS attack_bandwidth, test_length, low_pass, train_length, min_active, min_pkts_avg, above_limit, window_start,
  round(fp / nullif(fp + tn, 0), 9) AS fpr, fn AS attack_traffic FROM scored""")
 

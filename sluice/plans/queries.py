@@ -99,6 +99,39 @@ def prefix_mask_v4(spark, sf_dir):
     return masked.select("src_addr", net.mask_v4(a, 8).alias("net8"), net.mask_v4(a, 24).alias("net24"), net.mask_v4(a, 0).alias("net0"), net.format_v4(net.parse_v4(net.format_v4(a))).alias("ip"), net.cidr_v4(net.mask_v4(a, 24), 24).alias("cidr"))
 
 
+def _v6(k: str, rest: str = "") -> str:
+    """The text of 2001:db8:k::rest in SQL."""
+    return f"CASE WHEN {k} = 0 THEN '2001:db8::' ELSE '2001:db8:' || format('{{:x}}', CAST({k} AS BIGINT)) || '::' END" + (f" || format('{{:x}}', CAST({rest} AS BIGINT))" if rest else "")
+
+
+_K, _DST6 = "((src_addr // 256) % 256)", "CASE WHEN dst_addr = 3325256705 THEN '2001:db8:ffff::53' ELSE '2001:db8:ffff::c633:6402' END"
+
+
+@_query(f"SELECT {_v6(_K, 'src_addr % 256 + 1')} AS ip, {_v6(_K)} AS net48, {_v6(f'{_K} - {_K} % 4')} AS net46, '2001:db8::' AS net32, '::' AS net0, '20010DB8' || printf('%04X', CAST({_K} AS BIGINT)) || '00000000000000000000' AS hex48 FROM (SELECT DISTINCT src_addr FROM flows)", "flows")
+def prefix_mask_v6(spark, sf_dir):
+    a = fx.flows_v6(spark, sf_dir).select("src_addr").distinct()
+    shown = lambda p: net.format_v6(net.mask_v6("src_addr", p)).alias(f"net{p}")
+    return a.select(net.format_v6(net.parse_v6(net.format_v6("src_addr"))).alias("ip"), shown(48), shown(46), shown(32), shown(0), F.hex(net.mask_v6("src_addr", 48)).alias("hex48"))
+
+
+@_query(f"SELECT location, {_v6('((src_net // 256) % 256)')} AS src_net, {_DST6} AS dst_addr, CAST(proto AS BIGINT) AS proto, time, total_packets FROM nfaggregates", "nfaggregates")
+def hourly_agg_v6(spark, sf_dir):
+    found = ingest.aggregates(ingest.dns_flows(fx.flows_v6(spark, sf_dir)))
+    return _longs(found.select("location", net.text_of(found, "src_net").alias("src_net"), net.text_of(found, "dst_addr").alias("dst_addr"), "proto", "time", "total_packets"))
+
+
+@_query("SELECT flow_id, CAST(proto AS BIGINT) AS proto, in_packets FROM flows WHERE dst_port = 53 AND proto IN (6, 17) AND dst_addr = 3325256705", "flows")
+def flow_filter_v6(spark, sf_dir):
+    kept = ingest.dns_flows(fx.flows_v6(spark, sf_dir), net.networks(["198.51.100.0/24", "2001:db8:ffff::/121"]))
+    return _longs(kept.select("flow_id", "proto", "in_packets"))
+
+
+@_query(f"""SELECT {_v6('((src_net // 256) % 256)')} AS ip, packets FROM (WITH {_BUCKETS} SELECT src_net, max(packets) AS packets FROM buckets
+ WHERE time >= {fx.NOW} - 72 * 3600 AND time < {fx.NOW} GROUP BY 1 HAVING count(*) >= 3 AND max(packets) >= 64)""", "flows")
+def proto_allowlist_v6(spark, sf_dir):
+    return prototype.one_shot_allowlist(fx.flows_v6(spark, sf_dir), PROTOTYPE, fx.NOW)
+
+
 @_query("""SELECT flags, CAST(list_sum(list_transform(range(1, 9), lambda k: CASE WHEN substr(flags, CAST(k AS INTEGER), 1) = '.' THEN 0 ELSE CAST(pow(2, 8 - k) AS BIGINT) END)) AS BIGINT) AS mask
  FROM (SELECT DISTINCT array_to_string(list_transform(range(0, 8), lambda k: CASE WHEN (event_id >> CAST(7 - k AS BIGINT)) % 2 = 1 THEN substr('CEUAPRSF', CAST(k + 1 AS INTEGER), 1) ELSE '.' END), '') AS flags FROM events)""")
 def tcp_flags(spark, sf_dir):
@@ -123,13 +156,13 @@ def window_stats(spark, sf_dir):
     return _rounded(fx.stats(spark, sf_dir))
 
 
-_PAIRS = "unnest([1, 4, 8, 12]) a(active_min), unnest([64, 128, 256]) p(pkts_min)"
+_PAIRS = f"unnest({list(windows.ACTIVE_MINIMA)}) a(active_min), unnest({list(windows.PACKET_MINIMA)}) p(pkts_min)"
 
 
 @_query(f"""SELECT location, dst_addr, CAST(time_start AS BIGINT) AS time_start, CAST(train_window AS BIGINT) AS train_window, CAST(active_min AS BIGINT) AS active_min, CAST(pkts_min AS BIGINT) AS pkts_min,
  string_agg(CAST(src_net AS VARCHAR), ',' ORDER BY src_net) AS srcs FROM stats, {_PAIRS} WHERE active >= active_min AND average >= pkts_min GROUP BY ALL""", "stats")
 def allowlist_grid(spark, sf_dir):
-    found = windows.allowlists(fx.stats(spark, sf_dir), (1, 4, 8, 12), (64, 128, 256))
+    found = windows.allowlists(fx.stats(spark, sf_dir))
     return _longs(found.withColumn("srcs", F.array_join(F.transform("srcs", lambda x: x.cast("string")), ",")))
 
 
@@ -214,17 +247,18 @@ def evaluate_one(spark, sf_dir):
     return _rounded(evaluate.score(_merged(spark, sf_dir), ["location", "dst_addr", "window_start"], 128, 1.0), 3)
 
 
-@_query("""SELECT location, dst_addr, CAST(window_start AS BIGINT) AS window_start, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, CAST(low_pass AS BIGINT) AS low_pass, above_limit,
- round(sum(a - fn), 3) AS tp, round(sum(tn), 3) AS tn, round(sum(b - tn), 3) AS fp, round(sum(fn), 3) AS fn FROM (
- SELECT *, least(b, lim * (1 - a / (a + b))) AS tn, least(a, lim * (a / (a + b))) AS fn FROM (SELECT c.*, g.min_active, g.min_pkts_avg, g.low_pass, g.above_limit, coalesce(attack, 0.0) AS a, coalesce(test * 10, 0.0) AS b,
- CASE WHEN active >= g.min_active AND train >= g.min_pkts_avg THEN CASE WHEN evading THEN largest ELSE train END * 10 * g.above_limit ELSE CAST(g.low_pass AS DOUBLE) END AS lim
- FROM (SELECT *, max(train) OVER (PARTITION BY location, dst_addr, window_start, train_length) AS largest, src_net IN (SELECT src_net FROM attackers WHERE (src_net // 256) % 4 = 0) AS evading FROM cells) c
- JOIN cfg g USING (train_length, test_length) WHERE train_length = 24 AND (attack IS NOT NULL OR test IS NOT NULL))) GROUP BY ALL""", "cells", "cfg", "attackers")
+@_query("""SELECT location, dst_addr, CAST(window_start AS BIGINT) AS window_start, CAST(test_length AS BIGINT) AS test_length, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, CAST(low_pass AS BIGINT) AS low_pass, above_limit,
+ round(tp, 3) AS tp, round(tn, 3) AS tn, round(fp, 3) AS fp, round(fn, 3) AS fn FROM scored_evading""", "scored_evading")
 def evaluate_evasion(spark, sf_dir):
     """Evading networks get the window's largest train traffic, at the best training length."""
+    done = evaluate.best_train_only(_evading(spark, sf_dir)[0], {"aaa": 24})
+    return _rounded(done.select("location", "dst_addr", "window_start", "test_length", "min_active", "min_pkts_avg", "low_pass", "above_limit", "tp", "tn", "fp", "fn"), 3)
+
+
+def _evading(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The evaluation under evasion, and one row with the number of evading networks."""
     evading = fx.attackers(spark, sf_dir).where(F.shiftright("src_net", 8) % 4 == 0)
-    done = evaluate.best_train_only(fx.evaluation(spark, sf_dir, **{**fx.GRID, "evasion": evading}), {"aaa": 24})
-    return _rounded(done.select("location", "dst_addr", "window_start", "min_active", "min_pkts_avg", "low_pass", "above_limit", "tp", "tn", "fp", "fn"), 3)
+    return fx.evaluation(spark, sf_dir, **{**fx.GRID, "train_lengths": (24,), "evasion": evading}), evading.agg(F.count("*").alias("evasion_ips"))
 
 
 _CONFIG = "location, dst_addr, CAST(window_start AS BIGINT) AS window_start, CAST(train_length AS BIGINT) AS train_length, CAST(test_length AS BIGINT) AS test_length, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, CAST(low_pass AS BIGINT) AS low_pass, above_limit"
@@ -251,8 +285,11 @@ def conservation(spark, sf_dir):
     return r.agg(F.count("*").alias("n_results")).join(wrong, F.lit(True))  # one row each
 
 
-def _results(spark, sf_dir, **grid) -> DataFrame:
-    r = fx.evaluation(spark, sf_dir, **grid)
+def _results(spark, sf_dir) -> DataFrame:
+    return _rated(fx.evaluation(spark, sf_dir))
+
+
+def _rated(r: DataFrame) -> DataFrame:
     return r.select("location", "dst_addr", F.lit(fx.BANDWIDTH).alias("attack_bandwidth"), "test_length", "low_pass", *select.PARAMS, "window_start", F.round(metrics.fpr(), 9).alias("fpr"), F.col("fn").alias("attack_traffic"))
 
 
@@ -280,17 +317,45 @@ def dfc(spark, sf_dir):
     return _rounded(out.withColumn("avg_attack_traffic", F.round("avg_attack_traffic", 3)))
 
 
-@_query(f"""SELECT 0 AS evasion_ips, {_SERIES}, CAST(train_length AS BIGINT) AS train_length, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, above_limit,
- round(CASE WHEN count(fpr) = count(*) THEN avg(fpr) END, 6) AS fpr, round(avg(attack_traffic), 3) AS attack_traffic FROM results GROUP BY ALL""".replace("SELECT 0 AS", "SELECT CAST(0 AS BIGINT) AS"), "results")
+def _evasion_means(spark, sf_dir) -> DataFrame:
+    """Means without evasion and with it, at the training length that evasion is evaluated at."""
+    r, n = _evading(spark, sf_dir)
+    plain = _rated(fx.evaluation(spark, sf_dir, **{**fx.GRID, "train_lengths": (24,)})).withColumn("evasion_ips", F.lit(0).cast("long"))
+    return select.evasion_means(plain.unionByName(_rated(r).crossJoin(F.broadcast(n))))  # the number is one row
+
+
+_MEANS = f"""SELECT evasion_ips, {_SERIES}, CAST(train_length AS BIGINT) AS train_length, CAST(min_active AS BIGINT) AS min_active, CAST(min_pkts_avg AS BIGINT) AS min_pkts_avg, above_limit,
+ round(CASE WHEN count(fpr) = count(*) THEN avg(fpr) END, 6) AS fpr, round(avg(attack_traffic), 3) AS attack_traffic FROM evaded GROUP BY ALL"""
+
+
+@_query(_MEANS, "evaded")
 def evasion_means(spark, sf_dir):
-    out = select.evasion_means(_results(spark, sf_dir).withColumn("evasion_ips", F.lit(0)))
-    return _rounded(out.withColumn("attack_traffic", F.round("attack_traffic", 3)))
+    return _rounded(_evasion_means(spark, sf_dir).withColumn("attack_traffic", F.round("attack_traffic", 3)))
+
+
+@_query(f"""WITH means AS ({_MEANS}) SELECT location, evasion_ips, fpr, round(attack_traffic / 3600, 6) AS attack_per_second FROM (SELECT *, row_number() OVER (PARTITION BY location, evasion_ips ORDER BY dst_addr DESC, test_length DESC, low_pass DESC, min_active DESC, min_pkts_avg DESC, above_limit DESC) AS k FROM means) WHERE k = 1""", "evaded")
+def evasion_lookup(spark, sf_dir):
+    """By location and number of evading networks; of several configurations the last in order."""
+    means = _evasion_means(spark, sf_dir).withColumns({"fpr": F.round("fpr", 6), "attack_traffic": F.round("attack_traffic", 3)})
+    return _rounded(select.evasion_lookup(means, F.struct("dst_addr", "test_length", "low_pass", "min_active", "min_pkts_avg", "above_limit")))
+
+
+def _median(value: str) -> str:
+    """The weighted median of a few values as SQL: where no datum weighs more than half, the first past half of the weight."""
+    rows = f"list_sort(list({{'v': {value}, 'w': w}}) FILTER ({value} IS NOT NULL))"
+    upto = f"list_transform(range(1, len({rows}) + 1), lambda i: list_sum(list_transform(({rows})[1:i], lambda x: x.w)))"
+    heavy = f"list_filter({rows}, lambda x: x.w > list_sum(list_transform({rows}, lambda y: y.w)) / 2)"
+    at = f"list_position(list_transform({upto}, lambda u: u > ({upto})[-1] / 2), true)"
+    return f"round(CASE WHEN len({heavy}) > 0 THEN ({heavy})[1].v WHEN {at} > 1 AND ({upto})[{at} - 1] = ({upto})[-1] / 2 THEN (({rows})[{at}].v + ({rows})[{at} - 1].v) / 2 ELSE ({rows})[{at}].v END, 6)"
 
 
 @_query(f"""WITH {_STRIDE} SELECT CAST(test_length AS BIGINT) AS test_length, CAST(low_pass AS BIGINT) AS low_pass, round(min(avg_fpr), 6) AS min_fpr, round(avg(avg_fpr), 6) AS avg_fpr, round(median(avg_fpr), 6) AS med_fpr, round(max(avg_fpr), 6) AS max_fpr,
- round(min(avg_attack_traffic / 3600), 6) AS min_traffic, round(avg(avg_attack_traffic / 3600), 6) AS avg_traffic, round(median(avg_attack_traffic / 3600), 6) AS med_traffic, round(max(avg_attack_traffic / 3600), 6) AS max_traffic FROM ({_BEST}) GROUP BY 1, 2""", "results")
+ round(min(avg_attack_traffic / 3600), 6) AS min_traffic, round(avg(avg_attack_traffic / 3600), 6) AS avg_traffic, round(median(avg_attack_traffic / 3600), 6) AS med_traffic, round(max(avg_attack_traffic / 3600), 6) AS max_traffic,
+ round(sum(avg_fpr * w) / sum(w) FILTER (avg_fpr IS NOT NULL), 6) AS avgw_fpr, round(sum(avg_attack_traffic / 3600 * w) / sum(w) FILTER (avg_attack_traffic IS NOT NULL), 6) AS avgw_traffic, {_median("avg_fpr")} AS medw_fpr, {_median("avg_attack_traffic / 3600")} AS medw_traffic
+ FROM (SELECT *, CASE WHEN location = 'aaa' THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM ({_BEST})) GROUP BY 1, 2""", "results")
 def summary_table(spark, sf_dir):
-    return _rounded(reports.summary(select.global_optimum(_results(spark, sf_dir))))
+    weight = F.when(F.col("location") == "aaa", 3.0).otherwise(2.0)
+    return _rounded(reports.summary(select.global_optimum(_results(spark, sf_dir)).withColumn("weight", weight)))
 
 
 @_query("""WITH r AS (SELECT o_orderpriority AS k, o_totalprice AS v, CAST(o_custkey % 5 AS DOUBLE) AS w FROM orders), c AS (SELECT k, v, w, sum(w) OVER (PARTITION BY k ORDER BY v, w ROWS UNBOUNDED PRECEDING) AS u, lag(v) OVER (PARTITION BY k ORDER BY v, w) AS before, sum(w) OVER (PARTITION BY k) / 2 AS half FROM r)
@@ -343,3 +408,11 @@ def hist2d_edges(spark, sf_dir):
     # moved off the edges by less than any difference that counts, so that rounding cannot change a bin
     d = _churn(spark, sf_dir).withColumn("fpr_diff", F.round("fpr_diff", 7) + 3e-8)
     return _longs(reports.difference_histogram(d, "fpr_diff", reports.FPR_EDGES))
+
+
+@_query(f"""WITH {_CHURN} SELECT location, dst_addr, CAST(CASE WHEN idx <= 696 THEN least(idx // 4, 173) END AS BIGINT) AS x_bin,
+ CAST(least(len(list_filter({reports.TRAFFIC_EDGES}, lambda e: CAST(e AS DOUBLE) <= d)) - 1, {len(reports.TRAFFIC_EDGES) - 2}) AS BIGINT) AS y_bin, count(*) AS n FROM (SELECT *, round(attack_diff, 3) + 3e-4 AS d FROM diffs) WHERE d BETWEEN -100000 AND 100000 AND idx <= 696 GROUP BY ALL""", "results")
+def hist2d_traffic(spark, sf_dir):
+    # moved off the edges, as in hist2d_edges
+    d = _churn(spark, sf_dir).withColumn("attack_diff", F.round("attack_diff", 3) + 3e-4)
+    return _longs(reports.difference_histogram(d, "attack_diff", reports.TRAFFIC_EDGES))

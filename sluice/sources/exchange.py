@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net
@@ -15,20 +15,49 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
-def read_aggregates(spark: SparkSession, path: str, location: str = "xxx") -> DataFrame:
-    """{"ipv4": [[[time, proto, src, dst], {"total_packets": n}], ...], "ipv6": ...}; the IPv4 part with numeric addresses."""
-    pair = F.explode(F.from_json("value", "ipv4 array<array<string>>").getField("ipv4")).alias("pair")
+#: Rows of one JSON document that is written; a task writes as many files as it takes.
+_ROWS_BITS = 17
+
+
+def _documents(pairs: DataFrame, value: Column, path: str) -> None:
+    """Files of one JSON document each, made of some of the rows; every task writes its own."""
+    chunk = F.shiftright(F.monotonically_increasing_id(), _ROWS_BITS).alias("chunk")
+    pairs.select("*", chunk).groupBy("chunk").agg(value.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def read_aggregates(spark: SparkSession, path: str, location: str = "xxx", family: int = 4) -> DataFrame:
+    """The part of one family of {"ipv4": [[[time, proto, src, dst], {"total_packets": n}], ...], "ipv6": ...}.
+
+    Each file is such a document; one that has neither part is an error. Addresses are as in flows of that family.
+    """
+    part, parse = (("ipv4", net.parse_v4), ("ipv6", net.parse_v6))[family == 6]
+    whole = _whole(spark, path).where(F.length(F.trim("value")) > 0).select(F.from_json("value", "ipv4 array<array<string>>, ipv6 array<array<string>>").alias("d"))
+    neither = F.col("d.ipv4").isNull() & F.col("d.ipv6").isNull()
+    pair = F.explode(F.when(neither, F.raise_error(F.lit("a file of aggregates has neither ipv4 nor ipv6")).cast("array<array<string>>")).otherwise(F.col(f"d.{part}"))).alias("pair")
     key = F.from_json(F.col("pair")[0], "array<string>")
     value = F.from_json(F.col("pair")[1], "total_packets bigint")["total_packets"]
-    rows = _whole(spark, path).select(pair).select(key.alias("k"), value.alias("total_packets"))
+    rows = whole.select(pair).select(key.alias("k"), value.alias("total_packets"))
     bare = lambda x: F.split(x, "/")[0]
-    return rows.select(F.lit(location).alias("location"), net.parse_v4(bare(F.col("k")[2])).alias("src_net"), net.parse_v4(bare(F.col("k")[3])).alias("dst_addr"), F.col("k")[1].cast("short").alias("proto"), F.col("k")[0].cast("long").alias("time"), "total_packets")
+    return rows.select(F.lit(location).alias("location"), parse(bare(F.col("k")[2])).alias("src_net"), parse(bare(F.col("k")[3])).alias("dst_addr"), F.col("k")[1].cast("short").alias("proto"), F.col("k")[0].cast("long").alias("time"), "total_packets")
+
 
+def write_aggregates(path: str, *aggregates: DataFrame) -> None:
+    """Files of {"ipv4": [[[time, proto, src, dst], {"total_packets": n}], ...], "ipv6": ...}, which read_aggregates reads.
+
+    aggregates: tables of either family.
+    """
+    pairs = None
+    for rows in aggregates:
+        key = F.concat(F.lit("[["), F.col("time"), F.lit(","), F.col("proto"), F.lit(',"'), net.text_of(rows, "src_net"), F.lit('","'), net.text_of(rows, "dst_addr"), F.lit('"],{"total_packets":'), F.col("total_packets"), F.lit("}]"))
+        own = rows.select(F.lit(6 if net.is_v6(rows, "src_net") else 4).alias("family"), key.alias("pair"))
+        pairs = own if pairs is None else pairs.unionByName(own)
+    of = lambda family: F.concat_ws(",", F.collect_list(F.when(F.col("family") == family, F.col("pair"))))
+    _documents(pairs, F.concat(F.lit('{"ipv4":['), of(4), F.lit('],"ipv6":['), of(6), F.lit("]}")), path)
 
-def write_aggregates(aggregates: DataFrame, path: str) -> None:
-    """Lines of [[time, proto, src, dst], {"total_packets": n}], one for each row."""
-    key = F.concat(F.lit("[["), F.col("time"), F.lit(","), F.col("proto"), F.lit(',"'), net.format_v4(F.col("src_net")), F.lit('","'), net.format_v4(F.col("dst_addr")), F.lit('"],{"total_packets":'), F.col("total_packets"), F.lit("}]"))
-    aggregates.select(key.alias("value")).write.text(path)
+
+def table_of(path: str, family: int) -> str:
+    """Where the aggregates of a family are stored: those of IPv6 have a table of their own beside the other."""
+    return path if family == 4 else path.rstrip("/") + "-ipv6"
 
 
 def store_aggregates(aggregates: DataFrame, path: str, interval: int) -> None:
@@ -53,10 +82,10 @@ def unique(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows
 
 
-def read_attackers(spark: SparkSession, path: str) -> DataFrame:
-    """(src_addr, weight) from an object of addresses and weights; IPv4 only."""
+def read_attackers(spark: SparkSession, path: str, family: int = 4) -> DataFrame:
+    """(src_addr, weight) from an object of addresses and weights: those of one family."""
     rows = _whole(spark, path).select(F.explode(F.from_json("value", "map<string,double>")).alias("ip", "weight"))
-    return rows.select(net.parse_v4(F.col("ip")).alias("src_addr"), "weight").where("src_addr is not null")
+    return rows.select((net.parse_v6("ip") if family == 6 else net.parse_v4(F.col("ip"))).alias("src_addr"), "weight").where("src_addr is not null")
 
 
 def read_catchment(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +124,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def write_results(results: DataFrame, path: str, bandwidth: int) -> None:
     """A folder for each location and destination below <path>, whose name carries the bandwidth; lines of [configuration, sums]."""
-    config = F.struct("location", net.format_v4(F.col("dst_addr")).alias("iprange_dst"), "window_start", "train_length", "test_length", "min_active", "min_pkts_avg", "low_pass", F.col("above_limit").alias("above_train_limit"))
+    config = F.struct("location", net.cidr_v4(F.col("dst_addr"), 32).alias("iprange_dst"), "window_start", "train_length", "test_length", "min_active", "min_pkts_avg", "low_pass", F.col("above_limit").alias("above_train_limit"))
     sums = F.struct("total", F.col("tp").alias("true_positives"), F.col("tn").alias("true_negatives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"))
     line = F.concat(F.lit("[["), F.to_json(config), F.lit(","), F.to_json(sums), F.lit("]]"))
     results.select("location", F.col("dst_addr").alias("dst"), line.alias("value")).write.partitionBy("location", "dst").text(f"{path}/results_{bandwidth}bps")
@@ -145,9 +174,23 @@ def write_table(rows: DataFrame, path: str, key: list[str], by: str = "location"
     unique(filled, key).write.partitionBy(by).mode("errorifexists").parquet(path)
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """JSON lines, an object for each row; columns that are null are left out."""
-    rows.write.json(path)
+def _report(rows: DataFrame, path: str) -> None:
+    _documents(rows, F.concat(F.lit("["), F.concat_ws(",", F.collect_list(F.to_json(F.struct(*rows.columns)))), F.lit("]")), path)
+
+
+def write_optima(optima: DataFrame, path: str) -> None:
+    """Arrays of optima, which read_optima reads; a series whose rates are all null has no best_params."""
+    known = [c for c in ("train_length", "min_active", "min_pkts_avg", "above_limit") if c in optima.columns]
+    best = F.struct("train_length", "min_active", "min_pkts_avg", "low_pass", F.col("above_limit").alias("above_train_limit")) if known else None
+    more = [F.when(F.col("train_length").isNotNull(), best).alias("best_params")] if known else []
+    _report(optima.select("location", net.cidr_v4(F.col("dst_addr"), 32).alias("iprange_dst"), "attack_bandwidth", "test_length", "low_pass", "avg_fpr", "avg_attack_traffic", *more), path)
+
+
+def write_evasions(means: DataFrame, path: str) -> None:
+    """Arrays of means under evasion, which read_evasions reads; a series counts from its first window."""
+    dst = net.cidr_v4(F.col("dst_addr"), 32).alias("iprange_dst")
+    params = F.struct("location", dst, F.lit(1).alias("window_start"), "train_length", "test_length", "min_active", "min_pkts_avg", "low_pass", F.col("above_limit").alias("above_train_limit"))
+    _report(means.select("location", dst, "evasion_ips", "fpr", "attack_traffic", params.alias("params")), path)
 
 
 def json_rows(rows: DataFrame) -> DataFrame:

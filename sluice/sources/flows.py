@@ -63,16 +63,18 @@ def _required(value: Column, name: str) -> Column:
     return F.coalesce(value, F.raise_error(F.lit(f"no {name}")))
 
 
-def slim(rows: DataFrame, location: str = "xxx") -> DataFrame:
-    """The columns that operators read, IPv4 only. Times fall back from first and last to t_first and t_last; IPv4
-    addresses win over IPv6 ones; a record with neither, or without a time, is an error."""
-    v4 = lambda side: net.parse_v4(F.col(f"{side}4_addr"))
-    addressed = rows.withColumns({"src": _required(F.coalesce("src4_addr", "src6_addr"), "source address"), "dst": _required(F.coalesce("dst4_addr", "dst6_addr"), "destination address")})
-    return addressed.where(net.family(F.col("src")) == 4).select(
+def slim(rows: DataFrame, location: str = "xxx", family: int = 4) -> DataFrame:
+    """The columns that operators read, of the records of one family; call it for each. Times fall back from first and
+    last to t_first and t_last; IPv4 addresses win over IPv6 ones; a record with neither, with addresses of different
+    families, or without a time, is an error."""
+    if family not in (4, 6):
+        raise ValueError("the family is 4 or 6")
+    parsed = lambda side: net.parse_v4(F.col(side)) if family == 4 else net.parse_v6(side)
+    return addressed(rows).where(net.family(F.col("src")) == family).select(
         F.xxhash64("src", "dst", "first", "t_first", "last", "t_last", "src_port").alias("flow_id"),
         F.lit(location).alias("location"),
-        v4("src").alias("src_addr"),
-        v4("dst").alias("dst_addr"),
+        parsed("src").alias("src_addr"),
+        parsed("dst").alias("dst_addr"),
         "proto",
         "dst_port",
         _micros(_required(F.coalesce("first", "t_first"), "first time")).alias("first_us"),
@@ -82,19 +84,29 @@ def slim(rows: DataFrame, location: str = "xxx") -> DataFrame:
     )
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """Records of both families with addresses as bytes, for masks of either family."""
+def both_families(rows: DataFrame, location: str = "xxx") -> list[DataFrame]:
+    """The flows of IPv4 and those of IPv6."""
+    return [slim(rows, location, family) for family in (4, 6)]
+
+
+def addressed(rows: DataFrame) -> DataFrame:
+    """Records with their addresses as text, src and dst."""
     addresses = rows.select("*", _required(F.coalesce("src4_addr", "src6_addr"), "source address").alias("src"), _required(F.coalesce("dst4_addr", "dst6_addr"), "destination address").alias("dst"))
     mixed = net.family(F.col("src")) != net.family(F.col("dst"))
-    return addresses.where(F.when(mixed, F.raise_error(F.lit("source and destination are of different families")).cast("boolean")).otherwise(True)).select("*", net.family(F.col("src")).alias("family"), net.parse_any("src").alias("src_bytes"), net.parse_any("dst").alias("dst_bytes"))
+    return addresses.where(F.when(mixed, F.raise_error(F.lit("source and destination are of different families")).cast("boolean")).otherwise(True))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Records of both families with addresses as bytes, for masks of either family."""
+    return addressed(rows).select("*", net.family(F.col("src")).alias("family"), net.parse_any("src").alias("src_bytes"), net.parse_any("dst").alias("dst_bytes"))
 
 
 def _dumped(batches):
     for batch in batches:
         for path in batch.column("path").to_pylist():
             reader = ["zcat" if path.endswith(".gz") else "cat", path]
-            source = subprocess.Popen(reader, stdout=subprocess.PIPE)
-            out = subprocess.run(["nfdump", "-r", "-", "-o", "json"], stdin=source.stdout, capture_output=True, check=True).stdout
+            with subprocess.Popen(reader, stdout=subprocess.PIPE) as source:
+                out = subprocess.run(["nfdump", "-r", "-", "-o", "json"], stdin=source.stdout, capture_output=True, check=True).stdout
             rows = [json.dumps(x) for x in json.loads(out or b"[]")]
             for at in range(0, len(rows), 10_000):
                 yield pa.record_batch([pa.array(rows[at : at + 10_000], pa.string())], names=["record"])

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import cli
-from sluice.operators import ingest, prototype
+from sluice.functions import net
+from sluice.operators import ingest, prototype, select
 from sluice.sources import exchange, flows
 from sluice.streaming import allowlist as stream
 
@@ -76,6 +77,8 @@ def test_aggregates(spark, tmp_path):
     whole = {"ipv4": [[[3600, 17, "192.0.2.0/24", "198.51.100.1"], {"total_packets": 7}], [[7200, 6, "192.0.2.0", "198.51.100.1"], {"total_packets": 1}]], "ipv6": [[[1, 17, "2001:db8::", "::1"], {"total_packets": 2}]]}
     rows = exchange.read_aggregates(spark, written(tmp_path / "a.json", whole, None), "aaa")
     assert sorted((r.time, r.proto, r.src_net, r.total_packets) for r in rows.collect()) == [(3600, 17, 3221225984, 7), (7200, 6, 3221225984, 1)]
+    six = exchange.read_aggregates(spark, f"file://{tmp_path}/a.json", "aaa", 6).collect()
+    assert [(r.time, bytes(r.src_net)[:4], r.total_packets) for r in six] == [(1, b"\x20\x01\x0d\xb8", 2)]
     exchange.store_aggregates(rows, f"file://{tmp_path}/t", 3600)
     back = exchange.read_stored(spark, f"file://{tmp_path}/t")
     assert back.where("agg_interval = 3600 and location = 'aaa'").count() == 2
@@ -90,11 +93,28 @@ def test_aggregates(spark, tmp_path):
     assert {r.total_packets for r in ingest.merge(rows, rows).collect()} == {14, 2}
 
 
+def test_aggregates_are_read_as_written(spark, tmp_path):
+    four = spark.createDataFrame([("aaa", 167772160 + 256 * k, 3325256705, 17, 3600 * k, k + 1) for k in range(50)], AGG).repartition(3)
+    six = four.withColumns({"src_net": net.parse_v6(F.concat(F.lit("2001:db8:"), F.hex(F.col("time") / 3600), F.lit("::"))), "dst_addr": net.parse_v6(F.lit("::1"))})
+    exchange.write_aggregates(f"file://{tmp_path}/out", four, six)
+    for family, want in ((4, four), (6, six)):
+        got = exchange.read_aggregates(spark, f"file://{tmp_path}/out", "aaa", family)
+        assert got.dtypes == want.select(got.columns).dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    for file in (tmp_path / "out").glob("*.txt"):
+        assert set(json.loads(file.read_text())) == {"ipv4", "ipv6"}
+    exchange.write_aggregates(f"file://{tmp_path}/none", four.limit(0))
+    assert exchange.read_aggregates(spark, f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="neither"):
+        exchange.read_aggregates(spark, written(tmp_path / "x.json", {"other": []}, None)).collect()
+
+
 def test_catchment_and_attackers(spark, tmp_path):
     c = exchange.read_catchment(spark, written(tmp_path / "c.json", [[["10.0.0.0/24", "10.0.2.0/23"], {"203.0.113.1": {"xxx": 0.25, "yyy": 1}}], [["11.0.0.0/8"], {}]], None)).orderBy("location").collect()
     assert [(r.entry, r.start, r.end, r.location, r.factor) for r in c] == [(0, 167772160, 167772160 + 1023, "xxx", 0.25), (0, 167772160, 167772160 + 1023, "yyy", 1.0)]
     a = exchange.read_attackers(spark, written(tmp_path / "w.json", {"10.0.0.1": 1.5, "::1": 2}, None)).collect()
     assert [tuple(r) for r in a] == [(167772161, 1.5)]
+    assert [(bytes(r[0])[-1], r[1]) for r in exchange.read_attackers(spark, f"file://{tmp_path}/w.json", 6).collect()] == [(1, 2.0)]
 
 
 def test_results_carry_their_path(spark, tmp_path):
@@ -132,27 +152,37 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     for hour in range(30):
         for src in range(6):
             rows.append(FULL | {"t_first": f"2024-01-{1 + hour // 24:02d}T{hour % 24:02d}:05:00.000", "t_last": f"2024-01-{1 + hour // 24:02d}T{hour % 24:02d}:40:00.000", "in_packets": 20 + 7 * src + hour, "src4_addr": f"10.0.{src}.9"})
+        rows.append(SIX | {k: rows[-1][k] for k in ("t_first", "t_last")})
     path = written(tmp_path / "f.json", rows, None)
     run = lambda *a, **k: cli.run(cli.parser().parse_args([str(x) for x in a]), spark, **k)
     run("allowlist", "-n", 1704067200 + 30 * 3600, "-o", "-", "-c", written(tmp_path / "c.json", {"param_heavy": 60}).removeprefix("file://"), path)
     out = capsys.readouterr().out.split()
     assert out[0] == "ip,packets" and sorted(out[1:]) == sorted(f"10.0.{s}.0,{20 + 7 * s + 29}" for s in range(6) if 49 + 7 * s >= 60)
+    run("allowlist", "-n", 1704067200 + 30 * 3600, "-o", "-", "-c", written(tmp_path / "six.json", {"param_heavy": 5, "destination_addresses": ["2001:db8::/32"]}).removeprefix("file://"), path)
+    assert capsys.readouterr().out.split() == ["ip,packets", "2001:db8::,5"]
     run("allowlist", "-n", 1704067200 + 30 * 3600, path)
     assert "entries" in capsys.readouterr().out
     run("aggregate", "--output", f"file://{tmp_path}/agg", "--time-start", 0, path)
+    run("store", 3600, "aaa", f"file://{tmp_path}/table", f"file://{tmp_path}/agg")
     table = ingest.aggregates(ingest.dns_flows(flows.slim(flows.read_json(spark, path), "aaa")))
-    exchange.store_aggregates(table, f"file://{tmp_path}/table", 3600)
+    stored = exchange.read_stored(spark, f"file://{tmp_path}/table").select(table.columns)
+    assert sorted(stored.collect()) == sorted(table.collect()) and stored.count() == 180
+    seen = exchange.read_stored(spark, exchange.table_of(f"file://{tmp_path}/table", 6))
+    assert [(net_text, n) for net_text, n in seen.groupBy(net.format_v6("src_net")).agg(F.sum("total_packets")).collect()] == [("2001:db8::", 5 * 30)]
     grid = {"train_lengths": (8,), "test_lengths": (4,), "active_minima": (1,), "packet_minima": (10, 40), "low_passes": (128,), "above_limits": (1.0, 2.0)}
     run("evaluate", "--attacker-ips", written(tmp_path / "w.json", {"10.0.1.1": 1, "10.0.9.9": 2}, None), "--bits-per-second", 4444, f"file://{tmp_path}/table", f"file://{tmp_path}/out/conf", grid=grid)
     run("optimise", "--configuration", "conf", f"file://{tmp_path}/out")
-    best = spark.read.json(f"file://{tmp_path}/out/global_opt_results_conf").collect()
-    assert [(r.attack_bandwidth, r.test_length, r.low_pass) for r in best] == [(4444, 4, 128)]
-    assert spark.read.json(f"file://{tmp_path}/out/dfc_results_conf").count() == 1
+    best = exchange.read_optima(spark, f"file://{tmp_path}/out/global_opt_results_conf.json").collect()
+    assert [(r.attack_bandwidth, r.test_length, r.low_pass, r.iprange_dst) for r in best] == [(4444, 4, 128, "198.51.100.1/32")]
+    direct = select.global_optimum(cli._results(spark, f"file://{tmp_path}/out/conf")).first()
+    assert (best[0].avg_fpr, best[0].best_params.train_length, best[0].best_params.min_pkts_avg, best[0].best_params.above_train_limit) == (direct.avg_fpr, direct.train_length, direct.min_pkts_avg, direct.above_limit)
+    ahead = exchange.read_optima(spark, f"file://{tmp_path}/out/dfc_results_conf.json").collect()
+    assert len(ahead) == 1 and ahead[0].avg_fpr is not None and ahead[0].best_params is None
     monkeypatch.setattr(cli, "BEST_TRAIN", 8)
     run("evaluate", "--attacker-ips", f"file://{tmp_path}/w.json", "--evasion-ips", 1, "--bits-per-second", 4444, f"file://{tmp_path}/table", f"file://{tmp_path}/out/evade", grid=grid)
     run("evasion", "--configuration", "evade", "--extra", "x", f"file://{tmp_path}/out")
-    means = spark.read.json(f"file://{tmp_path}/out/results_evasion_evade_x").collect()
-    assert len(means) == 4 and {(r.evasion_ips, r.train_length) for r in means} == {(1, 8)}
+    means = exchange.read_evasions(spark, f"file://{tmp_path}/out/results_evasion_evade_x.json").collect()
+    assert len(means) == 4 and {(r.evasion_ips, r.params.train_length) for r in means} == {(1, 8)}
     with pytest.raises(ValueError):
         run("aggregate", "--output", "x", "--time-start", 5, "--time-end", 5, path)
 
@@ -179,3 +209,8 @@ def test_stream(spark, tmp_path):
     batch = {(r.src_net, r.time): r.n for r in ingest.bucket_packets(table).groupBy((F.col("src_addr").bitwiseAND(F.lit(~255))).alias("src_net"), "time").agg(F.sum("n").alias("n")).collect()}
     got = {(r.src_net, r.time): r.packets for r in spark.table("hours").collect()}
     assert got and all(v <= batch[k] for k, v in got.items())
+    # one file at a time keeps the order of the files, so with a long delay nothing comes late
+    whole = stream.source_hours(live, "2000 hours").writeStream.format("memory").queryName("whole").outputMode("complete").start()
+    whole.processAllAvailable()
+    whole.stop()
+    assert {(r.src_net, r.time): r.packets for r in spark.table("whole").collect()} == batch

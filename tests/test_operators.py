@@ -35,6 +35,28 @@ def test_both_families(spark):
     assert [r.m for r in masked] == ["9.0.0.0", "10.0.0.0", "2001:db8::", "255.255.255.0", "::"]
 
 
+def test_six(spark):
+    """Text, bytes, masks and networks of IPv6 against the standard library."""
+    r = random.Random(1)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2:3:4:5:6:7:8", "2001:DB8::1", "1:2", "12345::", ":::", "1::2::3", "::ffff:1.2.3.4", "64:ff9b::10.0.0.1", "::1.2.3.400", "g::", "", "1:0:0:2:0:0:0:3", "0:0:1::"]
+    texts += [":".join(format(r.choice([0, 0, 0, r.randrange(1 << 16), 10, 256]), "x") for _ in range(8)) for _ in range(60)]
+    prefixes = (0, 1, 46, 47, 48, 64, 127, 128)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", net.parse_v6("t"))
+    nets = net.networks(["2001:db8::/33", "::/100", "10.0.0.0/8"])
+    for x in df.select("t", "p", net.format_v6("p").alias("f"), net.in_networks(df, "p", nets).alias("inside"), *(net.mask_v6("p", k).alias(f"m{k}") for k in prefixes)).collect():
+        try:
+            want = ipaddress.IPv6Address(x.t)
+        except ValueError:
+            assert x.p is None and x.f is None
+            continue
+        assert bytes(x.p) == want.packed and (x.f == str(want) or want.ipv4_mapped)
+        assert x.inside == any(want in n for n in nets[:2])
+        for k in prefixes:
+            assert int.from_bytes(bytes(x[f"m{k}"]), "big") == int(want) >> (128 - k) << (128 - k)
+    with pytest.raises(ValueError):
+        net.mask_v6("p", 129)
+
+
 def test_flags(spark):
     flags = spark.createDataFrame([("...AP...",), ("........",), ("CEUAPRSF",)], "f string")
     assert [r.m for r in flags.select(net.tcp_flags(F.col("f")).alias("m")).collect()] == [24, 0, 255]
@@ -135,6 +157,33 @@ def test_allowlists_shrink_with_their_minima(spark, sf):
         assert all(n[a, p] >= n.get(k, 0) for k in ((a + 1, p), (a, p * 2)))
 
 
+def test_series_by_hand(spark):
+    """Zeros before, between and after; bounds; an hour that occurs twice."""
+    schema = "location string, src_net long, dst_addr long, proto short, time long, total_packets long"
+    rows = [("a", 1, 9, 17, 7200, 4), ("a", 1, 9, 17, 18000, 5), ("a", 2, 9, 17, 0, 1), ("a", 2, 9, 17, 21600, 2), ("a", 3, 9, 6, 3600, 7), ("a", 4, 9, 17, 5000, 3)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.src_net: r.total_packets for r in series.dense_series(df).collect()}
+    assert got == {1: [0, 0, 4, 0, 0, 5, 0], 2: [1, 0, 0, 0, 0, 0, 2], 3: [0] * 7, 4: [0] * 7}
+    got = {r.src_net: r.total_packets for r in series.dense_series(df.where("src_net < 4"), start=3600, end=18000).collect()}
+    assert got == {1: [0, 4, 0, 0, 5], 2: [0] * 5, 3: [0] * 5}
+    with pytest.raises(Exception, match="twice"):
+        series.dense_series(df.union(df)).collect()
+    assert series.dense_series(df.limit(0)).count() == 0
+
+
+def test_missing_intervals_are_an_error(spark):
+    key = "location string, src_net long, dst_addr long, total_packets array<long>"
+    hit = spark.createDataFrame([("a", 9, 1, 5.0)], "location string, dst_addr long, src_net long, attack double")
+    grid = dict(hours=8, train_lengths=(2,), test_lengths=(3,), active_minima=(1,), packet_minima=(1,), low_passes=(1,), above_limits=(1.0,), missing="error")
+    full = windows.window_stats(spark.createDataFrame([("a", 1, 9, [1] * 8)], key), (2, 3))
+    assert evaluate.evaluate_grid(full, hit, **grid).count() == 4
+    gap = windows.window_stats(spark.createDataFrame([("a", 1, 9, [1, 0, 0, 1, 1, 1, 1, 1])], key), (2, 3))
+    with pytest.raises(ValueError, match="windows of 2 hours"):
+        evaluate.evaluate_grid(gap, hit, **grid)
+    with pytest.raises(ValueError):
+        evaluate.evaluate_grid(full, hit, **(grid | {"missing": "x"}))
+
+
 def test_missing_windows(spark):
     wanted = spark.createDataFrame([("aaa", 9, 1, 8)], "location string, dst_addr long, time_start int, train_window int")
     empty = windows.traffic_intervals(windows.window_stats(spark.createDataFrame([("aaa", 1, 9, [0] * 8)], "location string, src_net long, dst_addr long, total_packets array<long>"), (8,)))
@@ -257,6 +306,24 @@ def test_dense_starts(spark):
         select.evasion_means(results(spark, [(8, 1, 1, 0.1), (8, 1, 3, 0.1)]).withColumn("evasion_ips", F.lit(1))).collect()
 
 
+def test_limits_are_rounded(spark):
+    rows = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.49, 1.5, 2.5)], "above_limit double")
+    assert [r.above_limit for r in select.rounded_limits(rows).collect()] == [1, 1, 1, 2, 3]
+
+
+def test_evasion_lookup(spark):
+    means = spark.createDataFrame([("a", 0, 1, 0.5, 3600.0), ("a", 0, 2, 0.25, 7200.0), ("a", 7, 1, 0.1, 360.0)], "location string, evasion_ips long, attack_bandwidth long, fpr double, attack_traffic double")
+    assert sorted(tuple(r) for r in select.evasion_lookup(means).collect()) == [("a", 0, 0.25, 2.0), ("a", 7, 0.1, 0.1)]
+
+
+def test_weighted_summary(spark):
+    for data, weights, want in (([1, 2, 3], [1, 1, 2], 2.5), ([5, 1, 9], [1, 1, 5], 9), ([1, 2, 3, 4], [1] * 4, 2.5), ([1, 2, 3], [1] * 3, 2), ([4], [1], 4)):
+        rows = spark.createDataFrame([(8, 128, float(d), 3600.0 * d, float(w)) for d, w in zip(data, weights)] + [(8, 128, None, None, 9.0)], "test_length int, low_pass int, avg_fpr double, avg_attack_traffic double, weight double")
+        got = reports.summary(rows).first()
+        assert got.medw_fpr == got.medw_traffic == want and got.max_fpr == max(data)
+        assert got.avgw_fpr == pytest.approx(sum(d * w for d, w in zip(data, weights)) / sum(weights))
+
+
 def test_last_written(spark):
     twice = results(spark, [(8, 1, 1, 0.1)]).withColumn("n", F.lit(1)).union(results(spark, [(8, 1, 1, 0.4)]).withColumn("n", F.lit(2)))
     assert select.last_written(twice, "n").first().fpr == 0.4
