@@ -86,7 +86,7 @@ def _hours(counts: DataFrame) -> int:
     return (row["last"] - row["first"]) // 3600 + 1
 
 
-GRID = {"train_lengths": (8, 24), "test_lengths": (24,), "active_minima": (1, 4), "packet_minima": (4, 64), "low_passes": (128, 512), "above_limits": (1.0, 2.0)}
+GRID = {"train_lengths": (8, 24), "test_lengths": (8, 24, 72), "active_minima": (1, 4), "packet_minima": (4, 64), "low_passes": (128, 512), "above_limits": (1.0, 2.0)}
 
 
 def evaluation(spark: SparkSession, sf_dir: str, **grid) -> DataFrame:
@@ -134,7 +134,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "attack": (("rates", "targets"), "SELECT location, dst_addr, src_net, CAST(rate AS DOUBLE) / (SELECT count(*) FROM targets u WHERE u.dst_addr = t.dst_addr) AS attack FROM rates CROSS JOIN targets t"),
     "axis": (("nfaggregates",), "SELECT CAST((max(time) - min(time)) // 3600 + 1 AS BIGINT) AS hours FROM nfaggregates"),
     "cfg": ((), """SELECT tr AS train_length, te AS test_length, ma AS min_active, mp AS min_pkts_avg, lp AS low_pass, CAST(al AS DOUBLE) AS above_limit
- FROM unnest([8, 24]) a(tr), unnest([24]) b(te), unnest([1, 4]) c(ma), unnest([4, 64]) d(mp), unnest([128, 512]) e(lp), unnest([1, 2]) f(al)"""),
+ FROM unnest([8, 24]) a(tr), unnest([8, 24, 72]) b(te), unnest([1, 4]) c(ma), unnest([4, 64]) d(mp), unnest([128, 512]) e(lp), unnest([1, 2]) f(al)"""),
 }
 # the attack meets every start here, where Spark counts attackers without benign traffic once
 _SQL["cells"] = (("stats", "attack", "axis", "cfg"), """SELECT tr AS train_length, te AS test_length, location, dst_addr, s AS window_start, src_net, max(attack) AS attack, max(train) AS train, max(active) AS active, max(test) AS test FROM (

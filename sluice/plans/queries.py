@@ -226,7 +226,7 @@ def catchment_scaled(spark, sf_dir):
 
 
 @_query("""SELECT location, dst_addr, CAST(window_start AS BIGINT) AS window_start, src_net, round(attack, 6) AS attack, round(train, 6) AS train, round(test, 6) AS test, coalesce(active >= 4 AND train >= 64, false) AS listed
- FROM cells WHERE train_length = 24""", "cells")
+ FROM cells WHERE train_length = 24 AND test_length = 24""", "cells")
 def merge_join(spark, sf_dir):
     return _rounded(_merged(spark, sf_dir))
 
@@ -241,7 +241,7 @@ def _merged(spark, sf_dir) -> DataFrame:
 
 
 @_query("""SELECT location, dst_addr, CAST(window_start AS BIGINT) AS window_start, round(tp, 3) AS tp, round(tn, 3) AS tn, round(fp, 3) AS fp, round(fn, 3) AS fn, round(total, 3) AS total FROM scored
- WHERE train_length = 24 AND min_active = 4 AND min_pkts_avg = 64 AND low_pass = 128 AND above_limit = 1""", "scored")
+ WHERE train_length = 24 AND test_length = 24 AND min_active = 4 AND min_pkts_avg = 64 AND low_pass = 128 AND above_limit = 1""", "scored")
 def evaluate_one(spark, sf_dir):
     """The evaluation by merge and conditional sums, for one configuration."""
     return _rounded(evaluate.score(_merged(spark, sf_dir), ["location", "dst_addr", "window_start"], 128, 1.0), 3)
