@@ -17,11 +17,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, grouped, materialise, mixed, sliced
+from .common import Rolling, Words, grouped, hot_keys, materialise, mixed, sliced, spread_join
 from .components import components
-from .tiles import deal, forest, groups
+from .tiles import deal, forest, groups, shuffled
 
 PERMUTATIONS, SHINGLE, THRESHOLD = 128, 5, 0.8
+#: Bands for near-duplicate classes, and signature rows in each.
+BANDS, ROWS = 20, 4
+#: Bits of the map that says which kinds' shingles are wanted; 4 MB for any input.
+WANTED = 1 << 25
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -53,6 +57,21 @@ def signatures(docs: list[bytes]) -> np.ndarray:
     return out
 
 
+def shingle_sets(docs: list[bytes]) -> list[np.ndarray]:
+    """Each document's distinct shingle hashes, sorted."""
+    found: list[list[np.ndarray]] = [[] for _ in docs]
+    for index, some in grouped(docs, SHINGLE - 1):
+        hashes, bounds = shingles(some)
+        for k, i in enumerate(index):
+            found[i].append(np.unique(hashes[bounds[k] : bounds[k + 1]]))
+    return [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in found]
+
+
+def kind_of(own: np.ndarray) -> int:
+    """One 64-bit value for a set of shingle hashes; 0 for none."""
+    return int(Rolling(own).of(np.array([0]), np.array([len(own)])).view(np.int64)[0]) if len(own) else 0
+
+
 def fingerprints(docs: list[bytes]) -> np.ndarray:
     return signatures(docs).astype(np.uint16)
 
@@ -82,34 +101,57 @@ def _first_ids(batches, bounds: list[int]):
 
 def _dealt(batches, bounds: list[int], heads: dict):
     """Rows with the bucket they belong to; a bucket's first document also goes to the bucket before, as its last next one."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=6)
     for batch in sliced(batches):
         rows = []
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             data = (t or "").encode()
             z = press.compress(data)
-            rows.append((_bucket(i, bounds), 0, i, len(data), z))
-            rows += [(b, 1, i, len(data), z) for b in heads.get(i, ())]
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "next", "doc_id", "size", "z"])
+            rows.append((_bucket(i, bounds), 0, i, len(data), z, None, None))
+            rows += [(b, 1, i, len(data), z, None, None) for b in heads.get(i, ())]
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), _PLACED.values())], names=list(_PLACED))
+
+
+def _marked(batches, bounds: list[int]):
+    """A row for each document whose class another one names; it goes where the document's text goes, and before it."""
+    for batch in batches:
+        ids, kinds, found = (batch.column(k).to_pylist() for k in ("doc_id", "kind", "class_id"))
+        n = len(ids)
+        columns = ([_bucket(i, bounds) for i in ids], [0] * n, ids, [0] * n, [None] * n, kinds, found)
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, _PLACED.values())], names=list(_PLACED))
+
+
+_PLACED = {"bucket": pa.int32(), "next": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "z": pa.binary(), "kind": pa.int64(), "class_id": pa.int64()}
+_PLACED_SCHEMA = "bucket int, next int, doc_id long, size long, z binary, kind long, class_id long"
 
 
 def _compared(batches):
     """Rows come sorted by bucket; each document meets the one after it, and is held until that has come."""
     unpack, held, open_bucket = zstandard.ZstdDecompressor(), None, None
+    marks: dict = {}  # kind -> class_id, of the documents with the last doc_id that had marks
+    marked = None
     for batch in sliced(batches, "size"):  # unpacked
-        rows = list(zip(*(batch.column(k).to_pylist() for k in ("bucket", "next", "doc_id", "z"))))
+        rows = list(zip(*(batch.column(k).to_pylist() for k in _PLACED)))
         chain, pairs = [held] if held else [], []
-        for bucket, extra, i, z in rows:
+        for bucket, extra, i, _, z, kind, named in rows:
+            if z is None:
+                if (bucket, i) != marked:
+                    marked, marks = (bucket, i), {}
+                marks[kind] = named
+                continue
             if extra and open_bucket != bucket:  # ties of the next bucket's first doc_id; the first one was it
                 continue
-            chain.append((i, unpack.decompress(z)))
+            text, own = unpack.decompress(z), i
+            if marks and not extra and (bucket, i) == marked:
+                own = marks.get(kind_of(shingle_sets([text])[0]), i)
+            chain.append((i, text, own))
             if open_bucket == bucket:
                 pairs.append(len(chain) - 2)
             open_bucket = None if extra else bucket
         held = chain[-1] if chain and open_bucket is not None else None
         if not pairs:
             continue
-        own = fingerprints([t for _, t in chain])
+        own = fingerprints([c[1] for c in chain])
         edited, lengths = [], []
         for k in pairs:
             text, after = chain[k][1].decode(), chain[k + 1][1].decode()
@@ -118,23 +160,24 @@ def _compared(batches):
             lengths.append(len(text))
         changed, at = fingerprints(edited), np.array(pairs)
         yield pa.record_batch(
-            [pa.array([chain[k][0] for k in pairs], pa.int64()), pa.array(lengths, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in edited]), pa.array(_hex(own[at])), pa.array(_hex(changed)), pa.array(_likeness(own[at], changed)), pa.array(_likeness(own[at], own[at + 1]))],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            [pa.array([chain[k][0] for k in pairs], pa.int64()), pa.array(lengths, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in edited]), pa.array(_hex(own[at])), pa.array(_hex(changed)), pa.array(_likeness(own[at], changed)), pa.array(_likeness(own[at], own[at + 1])), pa.array([chain[k][2] for k in pairs], pa.int64())],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
         )
 
 
 def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Every document's fingerprint, and its likeness to its edited text's and to the next document's.
+    """Every document's fingerprint, its likeness to its edited text's and to the next document's, and its class.
 
     The next document is the one after it in ascending doc_id (null first; ties in an order of their texts), after the
     last the first; a lone document follows itself. The edited text has its last floor(n/2) code points replaced by
     the next document's first as many. Null texts are empty; texts without words are alike, and unlike all others.
+    class_id is that of `near_duplicates`; where it is not the document's own id, it travels with the texts.
     Documents are dealt to buckets of doc_ids, several for each shuffle partition; what reaches the driver is the
     bounds and the first doc_id of each bucket. Very long texts are hashed in parts. Only doc_id and text are read, so
     other columns may have any names. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    given = _given(docs)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20 * buckets) if buckets > 1 else F.array()
     bounds = sorted(set(given.agg(cuts.alias("cuts")).first()["cuts"] or ()))
@@ -143,23 +186,60 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     heads: dict = {}
     for k, row in enumerate(firsts):
         heads.setdefault(row["least"]["doc_id"] if row["least"]["has"] else None, []).append(firsts[k - 1]["bucket"])
-    # a bucket's own rows come before the next bucket's first one
-    dealt = given.mapInArrow(partial(_dealt, bounds=bounds, heads=heads), "bucket int, next int, doc_id long, size long, z binary")
-    placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), "z")
-    return placed.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    named = materialise(_classes(given).where("not doc_id <=> class_id"), "classes")
+    # a bucket's own rows come before the next bucket's first one, and marks (without text) before their document's
+    dealt = given.mapInArrow(partial(_dealt, bounds=bounds, heads=heads), _PLACED_SCHEMA).unionByName(named.mapInArrow(partial(_marked, bounds=bounds), _PLACED_SCHEMA))
+    placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), F.col("z").asc_nulls_first())
+    return placed.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _encoded(batch) -> list[bytes]:
+    return [(t or "").encode() for t in batch.column("text").to_pylist()]
 
 
 def _keyed(batches, bands: int):
-    """A row for each band of each text: its key, a hash of the text's words, and its shingles' hashes."""
-    for batch in sliced(batches, limit=1 << 19):
-        docs = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        marks, (hashes, bounds) = signatures(docs), shingles(docs)
+    """Each text's kind (a hash of its shingles' set) and a 64-bit key for each band of its signature; null without words."""
+    for batch in sliced(batches, limit=1 << 20):
+        docs = _encoded(batch)
         rows = []
-        for k, i in enumerate(batch.column("doc_id").to_pylist()):
-            own = np.unique(hashes[bounds[k] : bounds[k + 1]])
-            kind = int(Rolling(own).of(np.array([0]), np.array([len(own)])).view(np.int64)[0]) if len(own) else 0
-            rows.append((i, kind, [int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True) for p in np.split(marks[k], bands)], own.view(np.int64).tolist()))
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc_id", "kind", "keys", "shingles"])
+        for i, own, marks in zip(batch.column("doc_id").to_pylist(), shingle_sets(docs), signatures(docs)):
+            cut = marks[: bands * ROWS].reshape(bands, ROWS)
+            keys = [int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8, salt=k.to_bytes(2, "little")).digest(), "little", signed=True) for k, p in enumerate(cut)]
+            rows.append((i, kind_of(own), keys if len(own) else None))
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "kind", "keys"])
+
+
+def _kinds(batches):
+    for batch in sliced(batches, limit=1 << 20):
+        yield pa.record_batch([batch.column("doc_id"), pa.array([kind_of(x) for x in shingle_sets(_encoded(batch))], pa.int64())], names=["doc_id", "kind"])
+
+
+def _wanted(kinds: DataFrame) -> np.ndarray:
+    """A bit for each residue of the kinds: WANTED bits, however many kinds there are."""
+    at = kinds.select(F.col("kind").bitwiseAND(F.lit(WANTED - 1)).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(WANTED >> 6, np.int64)
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _shingled(batches, wanted):
+    """(kind, shingles) of the texts whose kind's bit is set, once a task; of each hash the upper 32 bits."""
+    bits, seen = wanted.value, set()
+    for batch in sliced(batches, limit=1 << 20):
+        rows = []
+        for own in shingle_sets(_encoded(batch)):
+            kind = kind_of(own)
+            at = kind & (WANTED - 1)
+            if len(own) and kind not in seen and int(bits[at >> 6]) >> (at & 63) & 1:
+                seen.add(kind)
+                rows.append((kind, np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)))
+        if rows:
+            yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int32()))], names=["kind", "shingles"])
 
 
 def _similar(shingles: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -178,42 +258,63 @@ def _similar(shingles: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
 
 
 def _verified(batches, threshold: float):
-    for bucket in groups(batches, ["band", "key", "part", "other"]):
+    for bucket in groups(batches, ["key", "part", "other"]):
         kind = bucket.column("kind").to_numpy()
-        if len(kind) < 2:
+        if kind.min() == kind.max():
             continue
         i, j = _similar([np.array(x, np.int64) for x in bucket.column("shingles").to_pylist()], threshold)
         label = forest(len(kind), i, j)
-        moved = np.flatnonzero(label != np.arange(len(kind)))
+        moved = np.flatnonzero(kind[label] != kind)
         yield pa.record_batch([pa.array(kind[moved]), pa.array(kind[label[moved]])], names=["a", "b"])
 
 
-def _links(kinds: DataFrame, labels: DataFrame | None, bands: list[int], threshold: float, tile: int) -> DataFrame:
-    """Links (a, b) between kinds that share one of the bands. Buckets whose kinds are of one class already are skipped."""
-    banded = kinds.select("kind", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col("keys")[k].alias("key")) for k in bands))).alias("x")).select("kind", "x.*")
-    known = banded.withColumn("label", F.col("kind")) if labels is None else banded.join(labels, banded["kind"] == labels["node"], "left").select("kind", "band", "key", F.coalesce("label", "kind").alias("label"))
-    mixed = known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
-    dealt = deal(banded.join(mixed, ["band", "key"], "left_semi"), ["band", "key"], "kind", tile)
-    key = ["band", "key", "part", "other"]
-    full = dealt.join(kinds.select("kind", "shingles"), "kind").select(*key, "kind", "shingles")
+def _links(given: DataFrame, kinds: DataFrame, labels: DataFrame | None, bands: list[int], threshold: float, tile: int) -> DataFrame:
+    """Links (a, b) between kinds that share one of the bands. Buckets whose kinds are of one class already are skipped.
+
+    Without labels, a large bucket's kinds meet in two random splits into tiles only, which settles groups of near
+    copies in linear time; with labels, all that share a bucket meet. Shingles are shuffled for kinds in such buckets:
+    a bitmap of fixed size lets them through, and the join drops others that share a bit.
+    """
+    spark = given.sparkSession
+    known = kinds.withColumn("label", F.col("kind")) if labels is None else kinds.join(labels.withColumnRenamed("node", "kind"), "kind", "left").withColumn("label", F.coalesce("label", "kind"))
+    banded = known.select("kind", "label", F.explode(F.array(*(F.col("keys")[k] for k in bands))).alias("key"))
+    mixed_keys = materialise(banded.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("__n")).where("low < high").select("key", "__n"), "mixed")
+    hot = hot_keys(mixed_keys, kinds.count() * len(bands))
+    own = materialise(spread_join(banded.select("kind", "key"), mixed_keys.select("key"), ["key"], "left_semi", hot), "banded")
+    dealt = materialise((shuffled if labels is None else deal)(own, ["key"], "kind", tile), "dealt")
+    bits = _wanted(dealt)
+    if not bits.any():
+        return spark.createDataFrame([], "a long, b long")
+    found = given.mapInArrow(partial(_shingled, wanted=spark.sparkContext.broadcast(bits)), "kind long, shingles array<int>")
+    key = ["key", "part", "other"]
+    full = dealt.join(found.hint("merge"), "kind").select(*key, "kind", "shingles")
     return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_verified, threshold=threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = 32, tile: int = 128) -> DataFrame:
+def _classes(given: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, tile: int = 128) -> DataFrame:
+    """(doc_id, kind, class_id) of every row."""
+    keyed = given.mapInArrow(partial(_keyed, bands=bands), "doc_id long, kind long, keys array<long>")
+    kinds = materialise(keyed.groupBy("kind").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.count("*").alias("__n")), "kinds")
+    worded = kinds.where("keys is not null").select("kind", "keys")
+    first = materialise(_links(given, worded, None, [0], threshold, tile), "near")
+    labels = materialise(components(first), "labels")
+    rest = materialise(_links(given, worded, labels, list(range(bands)), threshold, tile), "near")
+    found = components(first.unionByName(rest))
+    own = materialise(kinds.select("kind", "id").join(found.withColumnRenamed("node", "kind"), "kind", "left").select("kind", "id", F.coalesce("label", "kind").alias("label")), "own")
+    named = own.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("__n"))
+    classes = spread_join(own, named.select("label", "class_id"), ["label"], hot=hot_keys(named.select("label", "__n"), kinds.count())).select("kind", "class_id")
+    counts = kinds.select("kind", "__n")
+    hot = hot_keys(counts, given.count())
+    return spread_join(given.mapInArrow(_kinds, "doc_id long, kind long"), classes, ["kind"], hot=hot).select("doc_id", "kind", "class_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, tile: int = 128) -> DataFrame:
     """(doc_id, class_id): classes of texts whose 5-word shingles have a Jaccard similarity of `threshold` or more.
 
     Texts with the same shingles are one kind, and only kinds are compared: those that share a signature band, on
-    their whole shingle sets. A pair at 0.8 shares one of 32 bands of 4 rows with a probability above 0.9999. The first
-    band settles large groups of near copies; the others then compare only buckets that still hold several classes.
-    class_id is the smallest doc_id of a class; rows without words form one class. Null doc_ids get a class, and never
-    name one.
+    their whole shingle sets (32 bits a shingle). A pair at 0.8 shares one of 20 bands of 4 rows with a probability
+    above 0.9999. The first band settles large groups of near copies; then all bands are compared in buckets that
+    still hold several classes. class_id is the smallest doc_id of a class; rows without words form one class. Null
+    doc_ids get a class, and never name one. Only doc_id and text are read. An empty table gives no rows.
     """
-    keyed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_keyed, bands=bands), "doc_id long, kind long, keys array<long>, shingles array<long>"), "bands")
-    kinds = materialise(keyed.where(F.size("shingles") > 0).groupBy("kind").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles")), "kinds")
-    first = materialise(_links(kinds, None, [0], threshold, tile), "near")
-    labels = materialise(components(first), "labels")
-    rest = materialise(_links(kinds, labels, list(range(1, bands)), threshold, tile), "near")
-    found = components(first.unionByName(rest))
-    own = keyed.groupBy("kind").agg(F.min("doc_id").alias("id")).join(found.withColumnRenamed("node", "kind"), "kind", "left").select("kind", "id", F.coalesce("label", "kind").alias("label"))
-    classes = own.join(own.groupBy("label").agg(F.min("id").alias("class_id")), "label").select("kind", "class_id")
-    return keyed.select("doc_id", "kind").join(classes, "kind").select("doc_id", "class_id")
+    return _classes(_given(docs), threshold, bands, tile).select("doc_id", "class_id")

@@ -28,6 +28,20 @@ def deal(rows: DataFrame, key: list[str], item: str, tile: int) -> DataFrame:
     return dealt.withColumn("part", F.least("own", "with")).withColumn("other", F.greatest("own", "with")).drop("own", "with", "parts")
 
 
+def shuffled(rows: DataFrame, key: list[str], item: str, tile: int, rounds: int = 2) -> DataFrame:
+    """rows with `part` and `other`, as deal gives them, but a large bucket is only split at random, `rounds` times over.
+
+    Every row meets about `tile` others each time. Where all rows of a bucket are alike, this links all of them in linear time.
+    """
+    size = materialise(rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > tile), "large")
+    hot = hot_keys(size, rows.count())
+    known = size.select(*key, F.ceil(F.col("__n") / tile).cast("int").alias("parts"))
+    dealt = spread_join(rows, known, key, "left", hot)
+    turns = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    dealt = dealt.withColumn("other", F.explode(turns))
+    return dealt.withColumn("part", F.pmod(F.xxhash64(item, "other"), F.coalesce("parts", F.lit(1))).cast("int")).select(*rows.columns, "part", "other")
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each of n indices through the pairs."""
     label = np.arange(n)

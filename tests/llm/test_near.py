@@ -198,6 +198,9 @@ def test_op9(spark, sf):
     got = queries.op9_minhash(spark, sf).collect()
     check_edited(got, documents(sf).values.tolist())
     assert len(got) == len(documents(sf))
+    rows = documents(sf).values.tolist()
+    want = classes(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8])
+    assert {r.doc_id: r.class_id for r in got} == {i: min(rows[k][0] for k in range(len(rows)) if want[k] == c) for (i, _), c in zip(rows, want)}
 
 
 def test_op9_odd(odd, none, spark):
@@ -206,7 +209,9 @@ def test_op9_odd(odd, none, spark):
         got = minhash.edited_fingerprints(odd.where("doc_id is null or doc_id <> 9"), buckets).collect()
         assert len(got) == len(rows)
         check_edited(got, [(r.doc_id, r.text) for r in rows])
-    assert minhash.edited_fingerprints(odd).count() == 10
+    got = minhash.edited_fingerprints(odd).collect()
+    same = {1: 1, 2: 1, 5: 1, 4: 4, 9: 4, 3: 3, 7: 7, 8: 8, None: None}
+    assert len(got) == 10 and all(r.class_id == same[r.doc_id] for r in got)
     assert minhash.edited_fingerprints(none).count() == 0
     alone = minhash.edited_fingerprints(spark.createDataFrame([(3, "abcd")], "doc_id long, text string")).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and alone.near_next == 1
