@@ -218,15 +218,28 @@ def _kinds(batches):
         yield pa.record_batch([batch.column("doc_id"), pa.array([kind_of(x) for x in shingle_sets(_encoded(batch))], pa.int64())], names=["doc_id", "kind"])
 
 
-def _wanted(kinds: DataFrame) -> np.ndarray:
-    """A bit for each residue of the kinds: WANTED bits, however many kinds there are."""
-    at = kinds.select(F.col("kind").bitwiseAND(F.lit(WANTED - 1)).alias("at"))
+def _wanted(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit for each residue of the column's hashes: WANTED bits, however many rows there are."""
+    at = rows.select(F.col(column).bitwiseAND(F.lit(WANTED - 1)).alias("at"))
     found = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(WANTED >> 6, np.int64)
     out[found.column("place").to_numpy()] = found.column("bits").to_numpy()
     return out
 
 
+def _passed(batches, bands: list[int], wanted):
+    """(kind, key) of the bands' keys whose bit is set."""
+    bits = wanted.value
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        if not len(kind):
+            continue
+        keys = np.array(batch.column("keys").to_pylist(), np.int64)[:, bands]
+        at = keys & (WANTED - 1)
+        row, band = np.nonzero(bits[at >> 6] >> (at & 63) & 1)
+        yield pa.record_batch([pa.array(kind[row]), pa.array(keys[row, band])], names=["kind", "key"])
+
+
 def _shingled(batches, wanted):
     """(kind, shingles) of the texts whose kind's bit is set, once a task; of each hash the upper 32 bits."""
     bits, seen = wanted.value, set()
@@ -271,6 +284,7 @@ def _verified(batches, threshold: float):
 def _links(given: DataFrame, kinds: DataFrame, labels: DataFrame | None, bands: list[int], threshold: float, tile: int) -> DataFrame:
     """Links (a, b) between kinds that share one of the bands. Buckets whose kinds are of one class already are skipped.
 
+    Keys that several kinds have reach the tasks as a bitmap of fixed size, too, so that few others are shuffled again.
     Without labels, a large bucket's kinds meet in two random splits into tiles only, which settles groups of near
     copies in linear time; with labels, all that share a bucket meet. Shingles are shuffled for kinds in such buckets:
     a bitmap of fixed size lets them through, and the join drops others that share a bit.
@@ -280,9 +294,15 @@ def _links(given: DataFrame, kinds: DataFrame, labels: DataFrame | None, bands:
     banded = known.select("kind", "label", F.explode(F.array(*(F.col("keys")[k] for k in bands))).alias("key"))
     mixed_keys = materialise(banded.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("__n")).where("low < high").select("key", "__n"), "mixed")
     hot = hot_keys(mixed_keys, kinds.count() * len(bands))
-    own = materialise(spread_join(banded.select("kind", "key"), mixed_keys.select("key"), ["key"], "left_semi", hot), "banded")
+    sent = spark.sparkContext.broadcast(_wanted(mixed_keys, "key"))
+    passed = kinds.mapInArrow(partial(_passed, bands=bands, wanted=sent), "kind long, key long")
+    own = materialise(spread_join(passed, mixed_keys.select("key"), ["key"], "left_semi", hot), "banded")
+    # buckets with the very same kinds, as two texts that share several bands make, are compared once
+    members = own.groupBy("key").agg(F.bit_xor("kind").alias("who"), F.bit_xor(F.xxhash64("kind")).alias("also"), F.count("*").alias("__n"))
+    once = materialise(members.groupBy("who", "also", "__n").agg(F.min("key").alias("key")).select("key", "__n"), "once")
+    own = materialise(spread_join(own, once.select("key"), ["key"], "left_semi", hot_keys(once, kinds.count() * len(bands))), "banded")
     dealt = materialise((shuffled if labels is None else deal)(own, ["key"], "kind", tile), "dealt")
-    bits = _wanted(dealt)
+    bits = _wanted(dealt, "kind")
     if not bits.any():
         return spark.createDataFrame([], "a long, b long")
     found = given.mapInArrow(partial(_shingled, wanted=spark.sparkContext.broadcast(bits)), "kind long, shingles array<int>")
