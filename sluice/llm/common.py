@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,21 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def concluded(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The rows of build(), written; tables written on the way are removed, and shuffles that led there can go, too.
+
+    Nothing that is read later depends on them, so losing executors stays as cheap as before.
+    """
+    before = len(_made)
+    found = materialise(build(), label)
+    passed, _made[before:] = _made[before:-1], _made[-1:]
+    for session, path in passed:
+        remove(session, path)
+    gc.collect()  # Spark drops shuffle files once neither Python nor the JVM refers to their plan
+    spark.sparkContext._jvm.System.gc()
+    return found
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, grouped, hot_keys, materialise, mixed, sliced, spread_join
+from .common import Rolling, Words, concluded, grouped, hot_keys, materialise, mixed, sliced, spread_join
 from .components import components
 from .tiles import deal, forest, groups, shuffled
 
@@ -42,28 +42,39 @@ def shingles(docs: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return Rolling(words.hashes()).of(start, np.minimum(start + size, words.first[1:][doc])), bounds
 
 
+def _lower(least: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> None:
+    """Takes each document's shingles into its row of smallest images; doc is ascending."""
+    x = (mixed(hashes) >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 2048):
+        images = x[at : at + 2048, None] * _A + _B
+        own = doc[at : at + 2048]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        least[own[first]] = np.minimum(least[own[first]], np.minimum.reduceat(images, first, axis=0))
+
+
+def _unsigned(docs: list[bytes]) -> np.ndarray:
+    return np.full((len(docs), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+
+
 def signatures(docs: list[bytes]) -> np.ndarray:
     """(documents, PERMUTATIONS) of uint32; documents without words have the largest value everywhere."""
-    out = np.full((len(docs), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
+    out = _unsigned(docs)
     for index, some in grouped(docs, SHINGLE - 1):
         hashes, bounds = shingles(some)
-        x = (mixed(hashes) >> np.uint64(32)).astype(np.uint32)
-        doc = np.repeat(np.array(index, np.int64), np.diff(bounds))
-        for at in range(0, len(x), 2048):
-            images = x[at : at + 2048, None] * _A + _B
-            own = doc[at : at + 2048]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            out[own[first]] = np.minimum(out[own[first]], np.minimum.reduceat(images, first, axis=0))
+        _lower(out, hashes, np.repeat(np.array(index, np.int64), np.diff(bounds)))
     return out
 
 
-def shingle_sets(docs: list[bytes]) -> list[np.ndarray]:
-    """Each document's distinct shingle hashes, sorted."""
+def shingle_sets(docs: list[bytes], least: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each document's distinct shingle hashes, sorted; their images go into `least`, as in `signatures`, on the way."""
     found: list[list[np.ndarray]] = [[] for _ in docs]
     for index, some in grouped(docs, SHINGLE - 1):
         hashes, bounds = shingles(some)
-        for k, i in enumerate(index):
-            found[i].append(np.unique(hashes[bounds[k] : bounds[k + 1]]))
+        own = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        for i, x in zip(index, own):
+            found[i].append(x)
+        if least is not None:
+            _lower(least, np.concatenate(own), np.repeat(np.array(index, np.int64), [len(x) for x in own]))
     return [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in found]
 
 
@@ -186,7 +197,7 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     heads: dict = {}
     for k, row in enumerate(firsts):
         heads.setdefault(row["least"]["doc_id"] if row["least"]["has"] else None, []).append(firsts[k - 1]["bucket"])
-    named = materialise(_classes(given).where("not doc_id <=> class_id"), "classes")
+    named = concluded(spark, lambda: _classes(given).where("not doc_id <=> class_id"), "classes")
     # a bucket's own rows come before the next bucket's first one, and marks (without text) before their document's
     dealt = given.mapInArrow(partial(_dealt, bounds=bounds, heads=heads), _PLACED_SCHEMA).unionByName(named.mapInArrow(partial(_marked, bounds=bounds), _PLACED_SCHEMA))
     placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), F.col("z").asc_nulls_first())
@@ -205,17 +216,12 @@ def _keyed(batches, bands: int):
     """Each text's kind (a hash of its shingles' set) and a 64-bit key for each band of its signature; null without words."""
     for batch in sliced(batches, limit=1 << 20):
         docs = _encoded(batch)
-        rows = []
-        for i, own, marks in zip(batch.column("doc_id").to_pylist(), shingle_sets(docs), signatures(docs)):
+        rows, least = [], _unsigned(docs)
+        for i, pick, own, marks in zip(batch.column("doc_id").to_pylist(), batch.column("pick").to_pylist(), shingle_sets(docs, least), least):
             cut = marks[: bands * ROWS].reshape(bands, ROWS)
             keys = [int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8, salt=k.to_bytes(2, "little")).digest(), "little", signed=True) for k, p in enumerate(cut)]
-            rows.append((i, kind_of(own), keys if len(own) else None))
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "kind", "keys"])
-
-
-def _kinds(batches):
-    for batch in sliced(batches, limit=1 << 20):
-        yield pa.record_batch([batch.column("doc_id"), pa.array([kind_of(x) for x in shingle_sets(_encoded(batch))], pa.int64())], names=["doc_id", "kind"])
+            rows.append((i, pick, kind_of(own), keys if len(own) else None))
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "pick", "kind", "keys"])
 
 
 def _wanted(rows: DataFrame, column: str) -> np.ndarray:
@@ -241,14 +247,14 @@ def _passed(batches, bands: list[int], wanted):
 
 
 def _shingled(batches, wanted):
-    """(kind, shingles) of the texts whose kind's bit is set, once a task; of each hash the upper 32 bits."""
+    """(kind, shingles) of the rows whose pick's bit is set, each kind once a task; of each hash the upper 32 bits."""
     bits, seen = wanted.value, set()
-    for batch in sliced(batches, limit=1 << 20):
+    picked = (b.filter(pa.array(bits[at >> 6] >> (at & 63) & 1 == 1)) for b in batches for at in [b.column("pick").to_numpy() & (WANTED - 1)])
+    for batch in sliced(picked, limit=1 << 20):
         rows = []
         for own in shingle_sets(_encoded(batch)):
             kind = kind_of(own)
-            at = kind & (WANTED - 1)
-            if len(own) and kind not in seen and int(bits[at >> 6]) >> (at & 63) & 1:
+            if len(own) and kind not in seen:
                 seen.add(kind)
                 rows.append((kind, np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)))
         if rows:
@@ -287,22 +293,22 @@ def _links(given: DataFrame, kinds: DataFrame, labels: DataFrame | None, bands:
     Keys that several kinds have reach the tasks as a bitmap of fixed size, too, so that few others are shuffled again.
     Without labels, a large bucket's kinds meet in two random splits into tiles only, which settles groups of near
     copies in linear time; with labels, all that share a bucket meet. Shingles are shuffled for kinds in such buckets:
-    a bitmap of fixed size lets them through, and the join drops others that share a bit.
+    a bitmap of fixed size lets one row of each through to be hashed, and the join drops others that share a bit.
     """
-    spark = given.sparkSession
+    spark, n = given.sparkSession, kinds.count() * len(bands)
     known = kinds.withColumn("label", F.col("kind")) if labels is None else kinds.join(labels.withColumnRenamed("node", "kind"), "kind", "left").withColumn("label", F.coalesce("label", "kind"))
     banded = known.select("kind", "label", F.explode(F.array(*(F.col("keys")[k] for k in bands))).alias("key"))
     mixed_keys = materialise(banded.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("__n")).where("low < high").select("key", "__n"), "mixed")
-    hot = hot_keys(mixed_keys, kinds.count() * len(bands))
+    hot = hot_keys(mixed_keys, n)
     sent = spark.sparkContext.broadcast(_wanted(mixed_keys, "key"))
     passed = kinds.mapInArrow(partial(_passed, bands=bands, wanted=sent), "kind long, key long")
     own = materialise(spread_join(passed, mixed_keys.select("key"), ["key"], "left_semi", hot), "banded")
     # buckets with the very same kinds, as two texts that share several bands make, are compared once
     members = own.groupBy("key").agg(F.bit_xor("kind").alias("who"), F.bit_xor(F.xxhash64("kind")).alias("also"), F.count("*").alias("__n"))
     once = materialise(members.groupBy("who", "also", "__n").agg(F.min("key").alias("key")).select("key", "__n"), "once")
-    own = materialise(spread_join(own, once.select("key"), ["key"], "left_semi", hot_keys(once, kinds.count() * len(bands))), "banded")
+    own = materialise(spread_join(own, once.select("key"), ["key"], "left_semi", hot_keys(once, n)), "banded")
     dealt = materialise((shuffled if labels is None else deal)(own, ["key"], "kind", tile), "dealt")
-    bits = _wanted(dealt, "kind")
+    bits = _wanted(kinds.join(dealt.hint("merge"), "kind", "left_semi"), "pick")
     if not bits.any():
         return spark.createDataFrame([], "a long, b long")
     found = given.mapInArrow(partial(_shingled, wanted=spark.sparkContext.broadcast(bits)), "kind long, shingles array<int>")
@@ -313,9 +319,10 @@ def _links(given: DataFrame, kinds: DataFrame, labels: DataFrame | None, bands:
 
 def _classes(given: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, tile: int = 128) -> DataFrame:
     """(doc_id, kind, class_id) of every row."""
-    keyed = given.mapInArrow(partial(_keyed, bands=bands), "doc_id long, kind long, keys array<long>")
-    kinds = materialise(keyed.groupBy("kind").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.count("*").alias("__n")), "kinds")
-    worded = kinds.where("keys is not null").select("kind", "keys")
+    given = given.withColumn("pick", F.xxhash64("doc_id", "text"))
+    keyed = materialise(given.mapInArrow(partial(_keyed, bands=bands), "doc_id long, pick long, kind long, keys array<long>"), "keyed")
+    kinds = materialise(keyed.groupBy("kind").agg(F.min("doc_id").alias("id"), F.min("pick").alias("pick"), F.first("keys").alias("keys"), F.count("*").alias("__n")), "kinds")
+    worded = kinds.where("keys is not null").select("kind", "pick", "keys")
     first = materialise(_links(given, worded, None, [0], threshold, tile), "near")
     labels = materialise(components(first), "labels")
     rest = materialise(_links(given, worded, labels, list(range(bands)), threshold, tile), "near")
@@ -324,8 +331,8 @@ def _classes(given: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     named = own.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("__n"))
     classes = spread_join(own, named.select("label", "class_id"), ["label"], hot=hot_keys(named.select("label", "__n"), kinds.count())).select("kind", "class_id")
     counts = kinds.select("kind", "__n")
-    hot = hot_keys(counts, given.count())
-    return spread_join(given.mapInArrow(_kinds, "doc_id long, kind long"), classes, ["kind"], hot=hot).select("doc_id", "kind", "class_id")
+    hot = hot_keys(counts, keyed.count())
+    return spread_join(keyed.select("doc_id", "kind"), classes, ["kind"], hot=hot).select("doc_id", "kind", "class_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, tile: int = 128) -> DataFrame:
